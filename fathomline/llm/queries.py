@@ -5,9 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fathomline.llm import minhash_dedup
-from fathomline.llm._common import table
+from fathomline.llm import minhash_dedup, quality_classifier, quality_rules, suffix_dedup
+from fathomline.llm._common import fraction_hash, table
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fraction_hash() % 3 == 1
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return quality_classifier.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +32,8 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
