@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import minhash_dedup, quality_classifier, quality_rules, suffix_dedup
+from fathomline.llm import hmm_scoring, html_extract, language_id, minhash_dedup, quality_classifier, quality_rules, suffix_dedup
 from fathomline.llm._common import fraction_hash, table
 
 
@@ -27,13 +27,31 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fraction_hash() % 5 == 0
+    model = language_id.fit(docs, ~held_out)
+    return language_id.identified(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op10_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_scoring.language_model_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), fraction_hash() % 5 == 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_html_extract": op7_html_extract,
+    "op8_language_id": op8_language_id,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_hmm_scoring": op10_hmm_scoring,
 }
