@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm._common import batches, mix64, saved, utf8
@@ -29,8 +29,8 @@ from fathomline.llm.components import components
 CHUNKS, WIDTH = 10, 4
 #: Largest distance at which the multi-index finds every pair.
 RADIUS = 2 * CHUNKS - 1
-#: Expected members of a block in the exact pass.
-BLOCK = 256
+#: Expected members, and at most so many shingles on average, of a block in the exact pass.
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 #: A worker's cache of word hashes is emptied at this size.
 CACHE = 500_000
 _RNG = np.random.default_rng(20240229)
@@ -207,6 +207,11 @@ def _cross_checked(percent: int):
     return run
 
 
+def _blocks(parts: Column) -> Column:
+    """The power of two at or above parts: blocks by the same hash then nest, whatever they are blocks of."""
+    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(parts, F.lit(1.0))))).cast("long")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles (long), component_id (smallest doc_id reachable by links, itself included), kept.
 
@@ -228,6 +233,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     buckets = saved(rows.join(leads, "key"), "minhash-buckets")
     # The full sets of all that share a bucket.
     homes = buckets.groupBy("uid").agg(F.min("lead").alias("home"))
+    nearer = buckets.join(homes, "uid").groupBy("key").agg(F.min("home").alias("home"))
+    homes = saved(buckets.select("key", "uid").join(nearer, "key").groupBy("uid").agg(F.min("home").alias("home")), "minhash-homes")
     wanted = unique.join(homes, "uid").select("uid", "doc_id", "d1", "d2")
     full = saved(
         docs.join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("uid", "text", "d1", "d2").mapInArrow(_sets(shingle_words), "uid long, n long, shingles binary").dropDuplicates(["uid"]),
@@ -240,13 +247,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     label = components(links, "minhash-star-components")
     # The exact pass over buckets whose members still have unlike labels.
     told = homes.join(label.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "home", F.coalesce("component", "uid").alias("label"))
-    parts = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    told = told.join(parts, "home").select("uid", "label", "home", F.pmod(F.xxhash64("uid"), "parts").alias("sub"))
-    told = saved(told.join(unique.select("uid", F.col("n_shingles").alias("n"), "sig"), "uid"), "minhash-told")
+    told = told.join(unique.select("uid", F.col("n_shingles").alias("n"), "sig"), "uid")
+    parts = told.groupBy("home").agg(_blocks(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    told = saved(told.join(parts, "home").withColumn("sub", F.pmod(F.xxhash64("uid"), "parts")).drop("parts"), "minhash-told")
     labelled = buckets.select("key", "uid", "members").join(told.select("uid", "label"), "uid")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
     blocks = saved(
-        buckets.join(mixed, "key").select("key", "uid", F.pmod(F.xxhash64("uid", F.lit(1)), F.ceil(F.col("members") / BLOCK)).alias("block")).join(told, "uid").groupBy("key", "block").agg(F.collect_list(F.struct(*_COLUMNS)).alias("rows")),
+        buckets.join(mixed, "key").select("key", "uid", F.pmod(F.xxhash64("uid"), _blocks(F.col("members") / BLOCK)).alias("block")).join(told, "uid").groupBy("key", "block").agg(F.collect_list(F.struct(*_COLUMNS)).alias("rows")),
         "minhash-blocks",
     )
     x = blocks.select("key", F.col("block").alias("i"), F.col("rows").alias("xs"))
