@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import hmm_scoring, html_extract, language_id, minhash_dedup, quality_classifier, quality_rules, suffix_dedup
+from fathomline.llm import decontamination, hmm_scoring, html_extract, language_id, minhash_dedup, quality_classifier, quality_rules, suffix_dedup
 from fathomline.llm._common import fraction_hash, table
 
 
@@ -23,6 +23,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), shingle_words=5, similarity=0.8).drop("text")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
 
@@ -49,6 +54,7 @@ def op10_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
+    "op4_decontamination": op4_decontamination,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_html_extract": op7_html_extract,
     "op8_language_id": op8_language_id,
