@@ -84,7 +84,7 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _described(size: int):
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sig", pa.binary())])
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sig", pa.binary())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -92,7 +92,7 @@ def _described(size: int):
             s = shingle_set(text, size)
             d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
             rows.append((len(s), int(d[0]), int(d[1]), signature(s).tobytes() if len(s) else None))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows), schema.types[2:]))], schema=schema)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *(pa.array(c, t) for c, t in zip(zip(*rows), schema.types[3:]))], schema=schema)
 
     return batches(run)
 
@@ -212,17 +212,30 @@ def _blocks(parts: Column) -> Column:
     return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(parts, F.lit(1.0))))).cast("long")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs (any columns with doc_id and text) that near_duplicates keeps: of each component the row with the smallest doc_id.
+
+    Rows that repeat that row's id and text stay with it, as do rows without an id whose component has no id at all.
+    """
+    kept = near_duplicates(docs, shingle_words, percent, hashed=True).where("kept").select(F.col("doc_id").alias("kept_id"), "text_hash").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.xxhash64("text").eqNullSafe(F.col("text_hash"))
+    return docs.join(kept, same, "left_semi")
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles (long), component_id (smallest doc_id reachable by links, itself included), kept.
 
     Two rows are linked if 100 * |A and B| >= percent * |A or B| for their sets of word shingles. A null,
     empty or blank text has an empty set and no link. Repeated rows with one id form one component if
     their texts are linked; a row whose whole component has null ids has a null component_id. kept is
-    doc_id <=> component_id. An empty table gives an empty result; other columns are not looked at.
+    doc_id <=> component_id. An empty table gives an empty result; other columns are not looked at. hashed
+    appends text_hash, the xxhash64 of the row's text.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     facts = saved(
-        docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(_described(shingle_words), "rid long, doc_id long, n_shingles long, d1 long, d2 long, sig binary"),
+        docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+            _described(shingle_words), "rid long, doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sig binary"
+        ),
         "minhash-facts",
     )
     sets = saved(facts.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("rid").alias("uid"), F.min("doc_id").alias("least")), "minhash-sets")
@@ -271,5 +284,5 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     least = classed.groupBy("component").agg(F.min("least").alias("component_id"))
     answer = saved(classed.join(least, "component").select("d1", "d2", "component_id"), "minhash-answer")
     return facts.join(answer, ["d1", "d2"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *(["text_hash"] if hashed else [])
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import decontamination, hmm_scoring, html_extract, language_id, minhash_dedup, quality_classifier, quality_rules, suffix_dedup
+from fathomline.llm import decontamination, hmm_scoring, html_extract, language_id, minhash_dedup, mixing, pii, quality_classifier, quality_rules, suffix_dedup
 from fathomline.llm._common import fraction_hash, table
 
 
@@ -18,6 +18,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mixed(docs, mixing.Target(entropy=0.95, repeats=4.0)).drop("text")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
@@ -32,6 +37,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
@@ -53,9 +62,11 @@ def op10_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_pii": op6_pii,
     "op7_html_extract": op7_html_extract,
     "op8_language_id": op8_language_id,
     "op9_minhash_dedup": op9_minhash_dedup,

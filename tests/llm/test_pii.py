@@ -1,0 +1,100 @@
+import datetime
+import hashlib
+import random
+import re
+
+import pytest
+
+from fathomline.llm import pii
+
+KEY = "k"
+
+
+def mac(kind, *parts):
+    return hashlib.sha256("|".join([KEY, kind, *map(str, parts)]).encode()).hexdigest()
+
+
+def feistel(kind, left, right, a, b, back=False):
+    for i in reversed(range(pii.ROUNDS)) if back else range(pii.ROUNDS):
+        sign = -1 if back else 1
+        if i % 2 == 0:
+            left = (left + sign * int(mac(kind, a, b, i, right)[:15], 16)) % a
+        else:
+            right = (right + sign * int(mac(kind, a, b, i, left)[:15], 16)) % b
+    return left, right
+
+
+def digits(kind, d, back=False):
+    u = (len(d) + 1) // 2
+    left, right = feistel(kind, int(d[:u]), int(d[u:]), 10**u, 10 ** (len(d) - u), back)
+    return str(left).zfill(u) + str(right).zfill(len(d) - u)
+
+
+def luhn(d):
+    return -sum(x if i % 2 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10
+
+
+def fill(v, d):
+    it = iter(d)
+    return re.sub("[0-9]", lambda _: next(it), v)
+
+
+def expected(v, back=False):
+    d = re.sub("[^0-9]", "", v)
+    if re.fullmatch(r"\d+(\.\d+){3}", v):
+        o = list(map(int, v.split(".")))
+        left, right = feistel("ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, back)
+        return f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", v):
+        return fill(v, digits("ssn", d, back))
+    if v[0] in "+(":
+        c = re.match(r"(\+\d{1,3}(?=\D))?", v).group()
+        return c + fill(v[len(c) :], digits("phone", re.sub("[^0-9]", "", v[len(c) :]), back))
+    m = digits("number", d[:-1], back)
+    return fill(v, m + str((luhn(m) + int(d[-1]) - luhn(d[:-1])) % 10))
+
+
+def run(spark, texts):
+    df = spark.createDataFrame([(i, t, "own") for i, t in enumerate(texts)], "doc_id long, text string, n_pii string")
+    return [(r.text, r.n_pii) for r in pii.pseudonymised(df, KEY).orderBy("doc_id").collect()]
+
+
+def test_permutations_match_and_invert(spark):
+    rng = random.Random(1)
+    values = ["4111111111111111", "4111 1111 1111 1112", "+1 (974) 555-3436", "(974) 555-3436", "123-45-6789", "255.0.10.1", "0.0.0.0", "1234-5678-9012-3", "+49 30 1234567", "9" * 19]
+    values += ["".join(rng.choices("0123456789", k=rng.randint(13, 19))) for _ in range(30)]
+    got = run(spark, [f"a {v} b" for v in values])
+    for v, (t, n) in zip(values, got):
+        assert n == 1 and t == f"a {expected(v)} b" and t != f"a {v} b", (v, t)
+        assert expected(expected(v), back=True) == v
+    assert luhn(re.sub(r"\D", "", got[0][0])[:-1]) == int(re.sub(r"\D", "", got[0][0])[-1])
+
+
+def test_dates_are_permuted_in_their_format(spark):
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(days=k) for k in range(0, pii.DAYS, 97)]
+    got = [t for t, _ in run(spark, [d.isoformat() for d in days])]
+    assert len(set(got)) == len(days) and all("1900" <= datetime.date.fromisoformat(t).isoformat()[:4] <= "2099" for t in got)
+    assert [t for t, _ in run(spark, [f"{d:%d.%m.%Y} {d:%d/%m/%Y}" for d in days[:20]])] == [f"{x:%d.%m.%Y} {x:%d/%m/%Y}" for x in map(datetime.date.fromisoformat, got[:20])]
+    assert [t for t, _ in run(spark, ["2023-02-30", "2023-13-01"])] == ["2023-02-30", "2023-13-01"]
+
+
+def test_secrets_and_mail(spark):
+    secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'token = "{secret}" é.34@mail7.example.com x', f'TOKEN = "{secret.upper()}"', "é.34@mail7.example.com", f"{secret[:-1]}3 a@b.co"]
+    got = run(spark, texts)
+    new = re.search("[0-9a-f]{40}", got[0][0]).group()
+    assert secret not in got[0][0] and new.upper() in got[1][0] and "mail7" not in got[0][0] and [n for _, n in got] == [2, 1, 1, 2]
+    assert got[2][0] in got[0][0] and got[3][0][:40] != new
+
+
+@pytest.mark.parametrize("text", ["", "no values", "Version 2.0.", "CC BY-NC 4.0.", "1.2.3", "300.1.1.1", "12345", "@", "r'\\ 1"])
+def test_left_alone(spark, text):
+    assert run(spark, [text]) == [(text, 0)]
+
+
+def test_null_long_repeated_empty(spark):
+    assert run(spark, [None, "4111111111111111", "4111111111111111", "w " * 50000 + "1.2.3.4"])[0] == (None, 0)
+    out = run(spark, ["1.2.3.4 and 1.2.3.4", "1.2.3.4" + " w" * 50000 + " 1.2.3.4"])
+    p = expected("1.2.3.4")
+    assert out == [(f"{p} and {p}", 2), (p + " w" * 50000 + f" {p}", 2)]
+    assert pii.pseudonymised(spark.createDataFrame([], "doc_id long, text string")).collect() == []
