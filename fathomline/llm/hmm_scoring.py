@@ -3,8 +3,8 @@
 The HMM emits word classes: each of the OWN most frequent training words has a class of its own, other words
 share one by their last three bytes, and the end of a text is a class. Within a class a word has its
 smoothed share of the class's training tokens, so a text's probability is that of its classes times that
-of its words given their classes. Word counts are taken over all training texts and stay distributed; only the
-TOP most frequent words, a number that does not grow with the corpus, go to every worker, and all
+of its words given their classes. Word counts are taken over all training texts and stay distributed; only up
+to TOP most frequent words, a number that does not grow with the corpus, go to every worker, and all
 other words meet their counts in a join. Expected counts of Baum-Welch are summed over partitions by a
 group-by; training texts are cut into blocks of BLOCK tokens for it, each taken as a sequence. Scores come
 from the scaled forward recursion over whole texts.
@@ -27,8 +27,8 @@ OWN, SHARED = 512, 511
 CLASSES = 1 + OWN + SHARED
 TOP = 100_000
 BLOCK = 256
-#: Tokens that the recursions take side by side.
-LANE_TOKENS = 1 << 20
+#: Blocks that Baum-Welch takes side by side, and tokens that it gathers before.
+LANES, GATHERED = 1024, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -126,42 +126,46 @@ def initial(share: np.ndarray, s: Settings) -> Model:
 
 
 def expected(sequences: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, moves and emissions, by the scaled forward-backward recursion over non-empty sequences."""
+    """Expected counts of starts, moves and emissions, by the scaled forward-backward recursion over non-empty sequences.
+
+    LANES sequences of like length step together, with arrays small enough for the processor's caches.
+    """
     start, move, emit = np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit)
+    first, a, e = (x.astype(np.float32) for x in (m.start, m.move, m.emit))
+    back, k = np.ascontiguousarray(a.T), len(m.start)
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-    at = 0
-    while at < len(order):
-        lanes = max(1, LANE_TOKENS // len(sequences[order[at]]))
-        part = [sequences[i] for i in order[at : at + lanes]]
-        at += lanes
+    for at in range(0, len(order), LANES):
+        part = [sequences[i] for i in order[at : at + LANES]]
         sizes = np.array([len(x) for x in part])
-        first = np.r_[0, np.cumsum(sizes)[:-1]]
-        flat = np.concatenate(part).astype(np.int64)
-        given = m.emit.T[flat]
-        live = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
-        alpha, scale = np.empty_like(given), np.empty(len(flat))
-        x = m.start * given[first]
-        for t in range(sizes[0]):
+        steps, lanes = int(sizes[0]), len(part)
+        padded = np.zeros((lanes, steps), np.uint16)
+        for row, seq in zip(padded, part):
+            row[: len(seq)] = seq
+        grid = np.ascontiguousarray(padded.T).astype(np.int64)
+        live = np.searchsorted(-sizes, -np.arange(steps), side="left")
+        alpha, scale = np.zeros((steps, k, lanes), np.float32), np.empty((steps, lanes), np.float32)
+        x = np.repeat(first[:, None], lanes, axis=1)
+        for t in range(steps):
             n = live[t]
-            here = first[:n] + t
-            if t:
-                x = (x[:n] @ m.move) * given[here]
-            z = x.sum(1, keepdims=True)
-            x = x / z
-            alpha[here], scale[here] = x, z[:, 0]
-        beta = np.ones((len(part), len(m.start)))
-        gamma = np.empty_like(given)
-        for t in range(sizes[0] - 1, -1, -1):
+            x = (back @ x[:, :n] if t else x) * e.take(grid[t, :n], axis=1)
+            z = x.sum(0)
+            x /= z
+            alpha[t, :, :n], scale[t, :n] = x, z
+        beta = np.ones((k, lanes), np.float32)
+        for t in range(steps - 1, -1, -1):
             n = live[t]
-            here = first[:n] + t
-            gamma[here] = alpha[here] * beta[:n]
             if t:
-                weighted = given[here] * beta[:n] / scale[here][:, None]
-                move += m.move * (alpha[here - 1].T @ weighted)
-                beta[:n] = weighted @ m.move.T
-        start += gamma[first].sum(0)
-        for k in range(len(m.start)):
-            emit[k] += np.bincount(flat, gamma[:, k], m.emit.shape[1])
+                w = e.take(grid[t, :n], axis=1)
+                w *= beta[:, :n]
+                w /= scale[t, :n]
+                move += m.move * (alpha[t - 1, :, :n] @ w.T)
+            alpha[t, :, :n] *= beta[:, :n]
+            if t:
+                beta[:, :n] = a @ w
+        start += alpha[0].sum(1)
+        flat = grid.ravel()
+        for i in range(k):
+            emit[i] += np.bincount(flat, alpha[:, i].ravel(), m.emit.shape[1])
     return start, move, emit
 
 
@@ -173,15 +177,15 @@ def forward(sequences: list[np.ndarray], m: Model) -> np.ndarray:
     sizes = np.array([len(x) for x in sequences])
     order = np.argsort(-sizes, kind="stable")
     first, sizes = np.r_[0, np.cumsum(sizes)[:-1]][order], sizes[order]
-    flat, emit = np.concatenate(sequences).astype(np.int64), np.ascontiguousarray(m.emit.T)
+    flat, back = np.concatenate(sequences), np.ascontiguousarray(m.move.T)
     live = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
     total = np.zeros(len(sequences))
-    x = np.tile(m.start, (len(sequences), 1))
+    x = np.repeat(m.start[:, None], len(sequences), axis=1)
     for t in range(sizes[0]):
         n = live[t]
-        x = (x[:n] @ m.move if t else x[:n]) * emit[flat[first[:n] + t]]
-        z = x.sum(1)
-        x /= z[:, None]
+        x = (back @ x[:, :n] if t else x) * m.emit.take(flat[first[:n] + t], axis=1)
+        z = x.sum(0)
+        x /= z
         total[:n] += np.log10(z)
     out[order] = total
     return out
@@ -203,7 +207,7 @@ def _expected(shared):
                 seq = np.frombuffer(raw.as_py(), np.uint16)
                 pending += [seq[k : k + BLOCK] for k in range(0, len(seq), BLOCK)]
                 held += len(seq)
-                if held >= LANE_TOKENS:
+                if held >= GATHERED:
                     add()
         if pending:
             add()
@@ -231,6 +235,22 @@ def train(classes: DataFrame, share: np.ndarray, s: Settings) -> Model:
     return m
 
 
+def _most_frequent(counts: DataFrame, top: int):
+    """At most `top` of the words as a pandas table, most frequent first: those above a count, found from a histogram of counts.
+
+    A sort with a limit would send `top` rows of each partition to the driver.
+    """
+    grade = F.floor(F.log2("n") * 16).cast("int")
+    sizes, cut, held = sorted(((r.grade, r["count"]) for r in counts.groupBy(grade.alias("grade")).count().collect()), reverse=True), None, 0
+    for g, n in sizes:
+        held += n
+        if held > top:
+            break
+        cut = g
+    listed = counts.where(grade >= cut if cut is not None else F.lit(False)).toPandas()
+    return listed.sort_values(["n", "h"], ascending=[False, True], ignore_index=True)
+
+
 def language_model_scores(docs: DataFrame, held_out: Column, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", top: int = TOP) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens (long), base_score, score.
 
@@ -245,7 +265,7 @@ def language_model_scores(docs: DataFrame, held_out: Column, s: Settings = Setti
     counts = saved(learned.mapInArrow(_counted, "h long, ending int, n long").groupBy("h").agg(F.first("ending").alias("ending"), F.sum("n").alias("n")), "words")
     n_end = learned.count()
     n_words, n_kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    listed = counts.orderBy(F.desc("n"), "h").limit(top).toPandas()
+    listed = _most_frequent(counts, top)
     classes = np.where(np.arange(len(listed)) < OWN, np.arange(len(listed)) + 1, 0)
     own = listed[:OWN]
     per_class = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()
