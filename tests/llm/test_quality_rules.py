@@ -25,15 +25,15 @@ def base(text):
 def spark_hash(*parts):
     seed = 42
     for p in parts:
-        seed = xxhash.xxh64_intdigest(p.encode(), seed=seed)
-    return (seed - (1 << 64) if seed >> 63 else seed) % qr.BUCKETS
+        seed = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else p.to_bytes(8, "little", signed=True), seed=seed)
+    return seed - (1 << 64) if seed >> 63 else seed
 
 
 def scores(rows, trusted):
     grams = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
-        grams.append([spark_hash(x) for x in w] + [spark_hash(x[-3:], y[-3:]) for x, y in zip(w, w[1:])])
+        grams.append([spark_hash(x) % qr.BUCKETS for x in w] + [spark_hash(spark_hash(x[-3:]), spark_hash(y[-3:])) % qr.BUCKETS for x, y in zip(w, w[1:])])
     raw = Counter(g for x in grams for g in x)
     target = Counter(g for (k, _), x in zip(rows, grams) if k in trusted for g in x)
     nr, nt = sum(raw.values()), sum(target.values())
