@@ -144,7 +144,10 @@ def fit(docs: DataFrame, learn: Column, s: Settings = Settings()) -> Model:
     samples: dict[str, bytes] = {}
     for kind in kinds:
         # The text is cut here for the sample only: what is scored is scored whole.
-        part = rows.where(F.col("lang") == kind.lang).select("o", F.substring("text", 1, s.bytes_per_row).alias("part")).orderBy("o", "part").limit(s.rows_per_language).collect()
+        # A share of the hash's range that holds more rows than are asked for: the sort is of few rows at any size.
+        share = min(1.0, 8 * s.rows_per_language / kind["count"])
+        near = rows.where((F.col("lang") == kind.lang) & (F.pmod("o", F.lit(1 << 30)) <= int(share * (1 << 30)))).withColumn("o", F.pmod("o", F.lit(1 << 30)))
+        part = near.select("o", F.substring("text", 1, s.bytes_per_row).alias("part")).orderBy("o", "part").limit(s.rows_per_language).collect()
         data = b" ".join(normalised(r.part.encode()) for r in part)[: s.bytes_per_language]
         if data:
             samples[kind.lang] = data
