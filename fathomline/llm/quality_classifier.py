@@ -109,17 +109,21 @@ def train(texts: list[bytes], labels: list[int], s: Settings) -> tuple[np.ndarra
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, s: Settings = Settings()) -> tuple[np.ndarray, float]:
-    """A model from labelled rows of docs for which learn holds: at most max_rows of them, in the order of a hash of doc_id, and max_chars in all.
+    """A model from labelled rows of docs for which learn, a condition on doc_id, holds: max_rows labelled ids at most, the first by a hash of the id, and max_chars in all.
 
     docs has doc_id and text, labels doc_id and quality (0 or 1; others and null are no label; of unlike
-    labels of one id the larger counts). Without labelled rows the model is 0.5 for any text.
+    labels of one id the larger counts). Labelled ids that docs lacks and null texts are passed over. Without
+    labelled rows the model is 0.5 for any text.
     """
-    known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = F.xxhash64(F.col("doc_id"), F.lit(s.seed))
-    rows = docs.where(learn & F.col("text").isNotNull()).select("doc_id", "text").join(known, "doc_id").select("text", "quality", order.alias("o"), F.xxhash64("text").alias("t"))
-    # The bound on characters is on rows in the same order: a longer text than the rest of the budget ends the sample.
+    known = labels.where(learn & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")).select("doc_id", "quality", order.alias("o"))
+    # A share of the hash's range that holds more than max_rows ids, so that the sort below is of few rows at any size.
+    share = min(1.0, 4 * s.max_rows / max(1, labels.count()))
+    first = known.where(F.pmod("o", F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(F.pmod("o", F.lit(1 << 30)), "o", "doc_id").limit(s.max_rows)
+    # The sample is max_rows ids at most: that bound makes the broadcast safe, and no text is shuffled to find it.
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(first), "doc_id").select("text", "quality", "o", F.xxhash64("text").alias("t")).orderBy("o", "t")
     sample, used = [], 0
-    for r in rows.orderBy("o", "t").limit(s.max_rows).toLocalIterator():
+    for r in rows.toLocalIterator():
         used += len(r.text)
         if used > s.max_chars and sample:
             break
