@@ -179,7 +179,6 @@ desktopini other @0 '[ViewState]' @11 in{'\x0d','\x0a'}
 dsstore other @0 '\x00\x00\x00\x01Bud1\x00'
 lnk other @0 'L\x00\x00\x00\x01\x14\x02\x00\x00\x00\x00\x00\xc0\x00\x00\x00\x00\x00\x00F'
 m3u-extended other @0 '#EXTM3U' @7 in{'\x0d','\x0a'}
-mediafileinfo other @0 'format='
 olecf other @0 in{'\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1','\x0e\x11\xfc\x0d\xd0\xcf\x11\x0e'}
 ppd other @0 '*PPD-Adobe: "'
 ppd other @0 '*PPD-Adobe:  "'
