@@ -3,7 +3,8 @@
 A signature is a chain of conditions on the header, `@offset 'bytes'` or `@offset in{'bytes','bytes'}` with
 alternatives of one length. All must hold. A fixed condition of n bytes adds 100 n to the confidence; one
 with alternatives adds 12.5 times the binary logarithm of their number, rounded down, less than that; either
-loses 10 for each byte (10 at most) between it and the condition before it.
+loses 10 for each byte (10 at most) between it and the condition before it. A guarded signature also asks
+for values of single bytes.
 """
 
 from __future__ import annotations
@@ -209,20 +210,24 @@ class Condition:
 
 @dataclass(frozen=True)
 class Signature:
+    """guards are conditions on single bytes that add nothing to the confidence by themselves; together they add bonus."""
+
     format: str
     kind: str
     conditions: tuple[Condition, ...]
+    guards: tuple[Condition, ...] = ()
+    bonus: int = 0
 
     @property
     def confidence(self) -> int:
-        total = end = 0
+        total, end = self.bonus, 0
         for c in self.conditions:
             total += 100 * c.size - 10 * min(c.offset - end, 10) - math.floor(12.5 * math.log2(len(c.options)))
             end = c.offset + c.size
         return total
 
     def matches(self, header: bytes) -> bool:
-        return all(header[c.offset : c.offset + c.size] in c.options for c in self.conditions)
+        return all(header[c.offset : c.offset + c.size] in c.options for c in self.conditions + self.guards)
 
 
 _TEXT = r"'((?:[^'\\]|\\.)*)'"
@@ -248,12 +253,35 @@ def parsed(line: str) -> Signature:
     return Signature(name, kind, tuple(conditions))
 
 
+def _letters(text: str) -> list[tuple[int, bytes]]:
+    return [(i, (c.lower() + c.upper()).encode()) for i, c in enumerate(text)]
+
+
+# Signatures with values that single bytes may have, and what these add to the confidence.
+GUARDED = (
+    (r"bmp image @0 'BM' @6 '\x00\x00\x00\x00' @15 '\x00\x00\x00'", [(14, range(12, 128)), (21, range(256))], 52),
+    (r"id3v2 audio @0 'ID3'", [(3, range(10)), (5, range(0, 256, 8)), (6, range(128)), (7, range(128)), (8, range(128)), (9, range(128))], 100),
+    (r"java-class code @0 '\xca\xfe\xba\xbe' @6 '\x00'", [(7, range(30, 256))], 1),
+    (r"mov media @0 '\x00\x00\x00' @4 'ftyp' @8 in{'qt  ','f4v ','isom','mp41','mp42','jp2 ','jpm ','jpx '}", [(3, range(16, 256, 4))], 26),
+    (r"mov media @0 '\x00\x00\x00' @4 'ftyp'", [(3, range(16, 256, 4))], 26),
+    (r"mov media @0 '\x00\x00\x00' @4 'ftypmif1'", [(3, range(16, 256, 4))], 26),
+    (r"realmedia media @0 '.RMF\x00\x00\x00'", [(7, range(8, 256))], 2),
+    (r"unixscript code @0 '#!'", [(2, b"/")], 110),
+    (r"unixscript code @0 '#!'", [(2, b" "), (3, b"/")], 110),
+    (r"wav audio @0 'RIFF' @8 in{'WAVE','RMP3'} @12 in{'fmt ','bext','JUNK'}", [(12, b"f"), (16, range(16, 81)), (17, b"\0"), (18, b"\0"), (19, b"\0")], 315),
+    (r"wav audio @0 'RIFF' @8 in{'WAVE','RMP3'} @12 in{'fmt ','bext','JUNK'}", [(12, b"bJ")], 1),
+    (r"windows-cmd code @0 '@' @1 in{'e','E'}", [*_letters("@echo off")[1:], (9, b"\r"), (10, b"\n")], 900),
+)
+
+
 @cache
 def signatures() -> tuple[Signature, ...]:
-    return tuple(parsed(x) for x in SIGNATURES.strip().split("\n"))
+    plain = tuple(parsed(x) for x in SIGNATURES.strip().split("\n"))
+    guarded = ((parsed(line), guards, bonus) for line, guards, bonus in GUARDED)
+    return plain + tuple(Signature(s.format, s.kind, s.conditions, tuple(Condition(at, tuple(bytes([b]) for b in options)) for at, options in guards), bonus) for s, guards, bonus in guarded)
 
 
 @cache
 def formats() -> dict[str, str]:
     """Class by format, for all formats that detection can name."""
-    return {s.format: s.kind for s in signatures()} | dict.fromkeys(BY_LENGTH, "other") | {"html": "other", "pnm": "image", "bmp": "image"}
+    return {s.format: s.kind for s in signatures()} | dict.fromkeys(BY_LENGTH, "other") | {"html": "other", "pnm": "image"}

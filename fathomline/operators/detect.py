@@ -23,7 +23,7 @@ def _candidate(confidence: Column | int, name: str) -> Column:
 
 def _holds(header: Column, s: Signature) -> Column:
     out = F.lit(True)
-    for c in s.conditions:
+    for c in s.conditions + s.guards:
         piece = F.substring(header, c.offset + 1, c.size)
         out = out & (piece == _hex(c.options[0]) if len(c.options) == 1 else piece.isin(*(_hex(o) for o in c.options)))
     return out
@@ -85,7 +85,7 @@ def signature_table(spark) -> DataFrame:
     for s in signatures():
         first = s.conditions[0]
         for p in {o[:4] for o in first.options} if first.offset == 0 else {b""}:
-            rows.append((s.format, s.kind, s.confidence, bytearray(p), [(c.offset, c.size, [bytearray(o) for o in c.options]) for c in s.conditions]))
+            rows.append((s.format, s.kind, s.confidence, bytearray(p), [(c.offset, c.size, [bytearray(o) for o in c.options]) for c in s.conditions + s.guards]))
     return spark.createDataFrame(rows, "format string, kind string, confidence int, prefix binary, conditions array<struct<at:int,size:int,options:array<binary>>>")
 
 

@@ -43,7 +43,7 @@ def _sql_hex(b: bytes) -> str:
 
 def _sql_match(h: str, s: Signature) -> str:
     """DuckDB condition that the hexadecimal text h of a header matches a signature."""
-    return " AND ".join(f"substr({h}, {2 * c.offset + 1}, {2 * c.size}) IN ({', '.join(map(_sql_hex, c.options))})" for c in s.conditions)
+    return " AND ".join(f"substr({h}, {2 * c.offset + 1}, {2 * c.size}) IN ({', '.join(map(_sql_hex, c.options))})" for c in s.conditions + s.guards)
 
 
 def _sql_detect(source: str, key: str) -> str:
@@ -72,7 +72,7 @@ def detect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _anchor(s: Signature) -> bytes:
     out = bytearray()
-    for c in s.conditions:
+    for c in s.conditions + s.guards:
         out.extend(b"\0" * max(0, c.offset - len(out)))
         out[c.offset : c.offset + c.size] = c.options[-1]
     return bytes(out)

@@ -16,7 +16,7 @@ def anchors():
     for s in sg.signatures():
         for pick in (0, -1):
             out = bytearray()
-            for c in s.conditions:
+            for c in s.conditions + s.guards:
                 out.extend(b"\0" * max(0, c.offset - len(out)))
                 out[c.offset : c.offset + c.size] = c.options[pick]
             yield bytes(out) + b"zzzz"
@@ -42,6 +42,13 @@ def test_both_ways_match_a_plain_loop(spark):
         (b"GIF89a", "gif", 588),
         (b"\x04\x22M\x18zz", "lz4-legacy", 400),
         (b"PK\x03\x04zz", "zip", 371),
+        (b"BM" + b"1234" + b"\0\0\0\0" + b"6\0\0\0\x28\0\0\0" + b"\0" * 8, "bmp", 200 + 360 + 250 + 52),
+        (b"#! /bin/sh", "unixscript", 310),
+        (b"#!x", "short3", 100000),
+        (b"\0\0\0\x14ftypmp42", "mov", 300 + 390 + 363 + 26),
+        (b"RIFF1234WAVEfmt \x10\0\0\0", "wav", 400 + 348 + 381 + 315),
+        (b"ID3\4\0\0\0\0\0\x0a", "id3v2", 400),
+        (b"@Echo OFF\r\n", "windows-cmd", 100 + 88 + 900),
         (None, None, None),
     ],
 )
