@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,69 +14,62 @@ from fathomline.formats.signatures import BY_LENGTH, BY_LENGTH_CONFIDENCE, HEADE
 HTML_START = r"(?i)^[\t-\r ]*<(?:!doctype(?=[\t-\r >])[\t-\r ]*html|html|head|body)(?=[\t-\r >])[\t-\r ]*"
 
 
-def _hex(b: bytes) -> Column:
-    return F.expr(f"X'{b.hex()}'")
+def _candidate(confidence: int | str, name: str) -> str:
+    return f"named_struct('confidence', cast({confidence} as int), 'format', '{name}')"
 
 
-def _candidate(confidence: Column | int, name: str) -> Column:
-    return F.struct(F.lit(confidence).cast("int").alias("confidence") if isinstance(confidence, int) else confidence.cast("int").alias("confidence"), F.lit(name).alias("format"))
+def _holds(s: Signature) -> str:
+    """SQL condition that the header h matches."""
+    return " AND ".join(f"substring(h, {c.offset + 1}, {c.size}) IN ({', '.join(_quoted(o) for o in c.options)})" for c in s.conditions + s.guards)
 
 
-def _holds(header: Column, s: Signature) -> Column:
-    out = F.lit(True)
-    for c in s.conditions + s.guards:
-        piece = F.substring(header, c.offset + 1, c.size)
-        out = out & (piece == _hex(c.options[0]) if len(c.options) == 1 else piece.isin(*(_hex(o) for o in c.options)))
-    return out
+def _quoted(b: bytes) -> str:
+    return f"X'{b.hex()}'"
 
 
-def _computed(header: Column) -> list[Column]:
-    """Candidates of formats that a rule describes rather than fixed bytes."""
-    start = F.length(F.regexp_extract(F.decode(header, "ISO-8859-1"), HTML_START, 0)) * 100
-    spaced = F.ascii(F.decode(F.substring(header, 1, 1), "ISO-8859-1")).isin(9, 10, 11, 12, 13, 32)
-    html = F.when(start > 0, F.when(spaced, 68 + F.greatest(F.lit(1), start - 12)).otherwise(100 + F.greatest(F.lit(1), start - 100)))
-    third = F.substring(header, 3, 1)
-    pnm = (F.substring(header, 1, 1) == _hex(b"P")) & F.substring(header, 2, 1).isin(*(_hex(bytes([c])) for c in b"1234567")) & third.isin(*(_hex(bytes([c])) for c in b"\t\n\x0b\x0c\r #"))
-    fourth = F.substring(header, 4, 1)
-    pnm = pnm & ((third == _hex(b"#")) | fourth.isin(*(_hex(bytes([c])) for c in b"0123456789")))
-    # Confidence of one fixed byte, one of seven and one of seven, and one for the digit or comment.
-    return [F.when(html.isNotNull(), _candidate(html, "html")), F.when(pnm, _candidate(100 + 65 + 65 + 1, "pnm"))]
-
+def _any(data: bytes) -> str:
+    return ", ".join(_quoted(bytes([c])) for c in data)
 
-def best_match(header: Column) -> Column:
-    """struct(confidence, format) of a binary column: the most confident match, of equals the last by name; `?` with 0 if none, null for null.
 
-    Signatures are grouped by their first byte where it is fixed, so a row meets only those that can match.
-    It is one projection: no join, no shuffle, no Python.
-    """
-    # Inside a lambda the header is cut once, and the long chain of cases, which is beyond the size of a
-    # compiled method, is interpreted by itself: the rest of the stage stays compiled.
-    return F.get(F.transform(F.array(F.substring(header, 1, HEADER_BYTES)), _best_of), F.lit(0))
+def _computed() -> list[str]:
+    """SQL of candidates of formats that a rule describes rather than fixed bytes; null where the rule fails."""
+    start = f"100 * length(regexp_extract(decode(h, 'ISO-8859-1'), r'{HTML_START}', 0))"
+    spaces = _any(b"\t\n\x0b\x0c\r ")
+    html = f"if(substring(h, 1, 1) IN ({spaces}), 68 + greatest(1, {start} - 12), 100 + greatest(1, {start} - 100))"
+    pnm = f"substring(h, 1, 1) = X'50' AND substring(h, 2, 1) IN ({_any(b'1234567')}) AND (substring(h, 3, 1) = X'23' OR substring(h, 3, 1) IN ({spaces}) AND substring(h, 4, 1) IN ({_any(b'0123456789')}))"
+    # Confidence of one fixed byte, one of seven and one of seven, and one for the digit or comment.
+    return [f"CASE WHEN {start} > 0 THEN {_candidate(html, 'html')} END", f"CASE WHEN {pnm} THEN {_candidate(100 + 65 + 65 + 1, 'pnm')} END"]
 
 
-def _best_of(header: Column) -> Column:
+@cache
+def _best_sql() -> str:
+    """SQL of the best candidate of the header h. Signatures are grouped by their first byte where it is fixed, so a row meets only those that can match."""
     groups: dict[int | None, list[Signature]] = defaultdict(list)
     for s in signatures():
-        firsts = {o[0] for o in s.conditions[0].options} if s.conditions[0].offset == 0 else {None}
-        for f in firsts:
-            groups[f].append(s)
+        for first in {o[0] for o in s.conditions[0].options} if s.conditions[0].offset == 0 else {None}:
+            groups[first].append(s)
 
-    def best(found: list[Signature]) -> Column:
-        options = [F.when(_holds(header, s), _candidate(s.confidence, s.format)) for s in found]
-        return options[0] if len(options) == 1 else F.greatest(*options)
+    def best(found: list[Signature]) -> str:
+        options = [f"CASE WHEN {_holds(s)} THEN {_candidate(s.confidence, s.format)} END" for s in found]
+        return options[0] if len(options) == 1 else f"greatest({', '.join(options)})"
 
-    first = F.substring(header, 1, 1)
-    by_first = None
-    for byte, found in sorted((g for g in groups.items() if g[0] is not None)):
-        by_first = F.when(first == _hex(bytes([byte])), best(found)) if by_first is None else by_first.when(first == _hex(bytes([byte])), best(found))
-    by_length = F.when(F.length(header) < len(BY_LENGTH), F.struct(F.lit(BY_LENGTH_CONFIDENCE).alias("confidence"), F.element_at(F.array(*map(F.lit, BY_LENGTH)), F.length(header) + 1).alias("format")))
-    found = F.greatest(by_first, best(groups[None]), *_computed(header))
-    return F.when(header.isNotNull(), F.coalesce(by_length, found, _candidate(0, UNKNOWN)))
+    arms = " ".join(f"WHEN substring(h, 1, 1) = {_quoted(bytes([first]))} THEN {best(found)}" for first, found in sorted((g for g in groups.items() if g[0] is not None)))
+    short = f"CASE WHEN length(h) < {len(BY_LENGTH)} THEN named_struct('confidence', {BY_LENGTH_CONFIDENCE}, 'format', element_at(array({', '.join(repr(x) for x in BY_LENGTH)}), length(h) + 1)) END"
+    return f"coalesce({short}, greatest(CASE {arms} END, {best(groups[None])}, {', '.join(_computed())}), {_candidate(0, UNKNOWN)})"
+
+
+def best_match(content: str) -> Column:
+    """struct(confidence, format) of SQL of a binary value: the most confident match, of equals the last by name; `?` with 0 if none, null for null.
+
+    One projection: no join, no shuffle, no Python. In a lambda, so that the header is cut once, and so that
+    the long chain of cases, beyond the size of a compiled method, is interpreted by itself.
+    """
+    return F.expr(f"if({content} IS NULL, NULL, get(transform(array(substring({content}, 1, {HEADER_BYTES})), h -> {_best_sql()}), 0))")
 
 
 def detect(files: DataFrame, content: str = "content") -> DataFrame:
     """files with confidence and format appended; an own column of these names is replaced."""
-    found = files.drop("confidence", "format").withColumn("detected", best_match(F.col(content)))
+    found = files.drop("confidence", "format").withColumn("detected", best_match(f"`{content}`"))
     return found.withColumns({"confidence": F.col("detected.confidence"), "format": F.col("detected.format")}).drop("detected")
 
 

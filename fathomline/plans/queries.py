@@ -111,7 +111,7 @@ def format_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, regexp_matches(html, '(?i)^[\\t-\\r ]*<(?:!doctype[\\t-\\r ]+html|html|head|body)[\\t-\\r >]') AS is_html FROM pages")
 def html_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = best_match(F.encode("html", "UTF-8"))
+    found = best_match("encode(html, 'UTF-8')")
     return table(spark, sf_dir, "pages").select("page_id", (found["format"] == "html").alias("is_html"))
 
 
