@@ -259,6 +259,7 @@ def _letters(text: str) -> list[tuple[int, bytes]]:
 
 # Signatures with values that single bytes may have, and what these add to the confidence.
 GUARDED = (
+    (r"au audio @0 '.snd\x00\x00\x00' @12 '\x00\x00\x00'", [(15, (1, 2, 3, 4, 5, 6, 7, 23, 24, 25, 26, 27)), (20, b"\0"), (21, b"\0"), (22, b"\0"), (23, range(1, 16))], 368),
     (r"bmp image @0 'BM' @6 '\x00\x00\x00\x00' @15 '\x00\x00\x00'", [(14, range(12, 128)), (21, range(256))], 52),
     (r"id3v2 audio @0 'ID3'", [(3, range(10)), (5, range(0, 256, 8)), (6, range(128)), (7, range(128)), (8, range(128)), (9, range(128))], 100),
     (r"java-class code @0 '\xca\xfe\xba\xbe' @6 '\x00'", [(7, range(30, 256))], 1),
