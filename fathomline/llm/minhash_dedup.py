@@ -32,7 +32,7 @@ RADIUS = 2 * CHUNKS - 1
 #: Expected members, and at most so many shingles on average, of a block in the exact pass.
 BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 #: A worker's cache of word hashes is emptied at this size.
-CACHE = 500_000
+CACHE = 150_000
 _RNG = np.random.default_rng(20240229)
 _MULTIPLY = _RNG.integers(0, 2**63, CHUNKS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 2**63, CHUNKS * WIDTH, dtype=np.uint64)
@@ -107,34 +107,28 @@ def _keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _sets(size: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        uid, d1, d2, n, rows = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), [], []
+        uid, d1, d2, kept, sets = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), [], []
         for i, text in enumerate(utf8(batch.column(1))):
-            s = shingle_set(text, size).tobytes()
-            d = np.frombuffer(xxhash.xxh3_128_digest(s), "<i8")
+            s = shingle_set(text, size)
+            d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
             if int(d[0]) == d1[i] and int(d[1]) == d2[i]:  # an id that several texts carry meets only its own text
-                rows.append((uid[i], len(s) // 8, s))
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["uid", "n", "shingles"])
+                kept.append(uid[i])
+                sets.append(s.view(np.int64))
+        sizes = np.array([len(s) for s in sets], np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(sizes), lists], names=["uid", "n", "shingles"])
 
     return batches(run)
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * |a and b| >= percent * |a or b|, of sorted sets."""
+    """100 * |a and b| >= percent * |a or b|, of arrays without repeats."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verified(percent: int):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        keep = [i for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))) if _alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent)]
-        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
-
-    return batches(run)
-
-
 _COLUMNS = ("uid", "label", "n", "home", "sub", "sig")
 
 
@@ -187,7 +181,7 @@ def _cross_checked(percent: int):
     """Pairs of two home blocks and their members' sets -> links; pairs that are already connected are passed over."""
 
     def run(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        of = {u: np.frombuffer(s, np.uint64) for u, s in zip(sets["uid"], sets["shingles"])}
+        of = {u: np.asarray(s, np.int64) for u, s in zip(sets["uid"], sets["shingles"])}
         parent = {u: u for u in of}
 
         def root(u: int) -> int:
@@ -250,13 +244,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     homes = saved(buckets.select("key", "uid").join(nearer, "key").groupBy("uid").agg(F.min("home").alias("home")), "minhash-homes")
     wanted = unique.join(homes, "uid").select("uid", "doc_id", "d1", "d2")
     full = saved(
-        docs.join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("uid", "text", "d1", "d2").mapInArrow(_sets(shingle_words), "uid long, n long, shingles binary").dropDuplicates(["uid"]),
+        docs.join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("uid", "text", "d1", "d2").mapInArrow(_sets(shingle_words), "uid long, n long, shingles array<long>").dropDuplicates(["uid"]),
         "minhash-full",
     )
     a, b = (full.select(F.col("uid").alias(x), F.col("shingles").alias(f"{x}_set"), F.col("n").alias(f"{x}_n")) for x in "ab")
     sizes = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
     star = buckets.where("uid <> lead").select(F.col("lead").alias("a"), F.col("uid").alias("b")).distinct()
-    links = saved(star.join(b, "b").join(a, "a").where(sizes).select("a", "b", "a_set", "b_set").mapInArrow(_verified(percent), "a long, b long"), "minhash-star")
+    # In the JVM, pair by pair: batches of pairs of long sets would fill the memory outside the heap.
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    links = saved(star.join(b, "b").join(a, "a").where(sizes).where((100 + percent) * both >= percent * (F.col("a_n") + F.col("b_n"))).select("a", "b"), "minhash-star")
     label = components(links, "minhash-star-components")
     # The exact pass over buckets whose members still have unlike labels.
     told = homes.join(label.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "home", F.coalesce("component", "uid").alias("label"))

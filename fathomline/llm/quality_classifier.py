@@ -22,7 +22,8 @@ from fathomline.llm._common import batches, mix64, utf8
 
 #: Bytes: letters are A-Z, a-z and all bytes of characters beyond ASCII.
 _WORD = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|([^\sA-Za-z0-9\x80-\xff])\1*")
-CACHE = 500_000
+#: A worker's cache of word hashes is emptied at this size.
+CACHE = 150_000
 _seen: dict[bytes, tuple[int, int]] = {}
 
 
