@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -180,7 +179,9 @@ def _screened(percent: int):
 def _cross_checked(percent: int):
     """Pairs of two home blocks and their members' sets -> links; pairs that are already connected are passed over."""
 
-    def run(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    def run(pairs, sets):
+        import pandas as pd  # here, as no other function of this module's workers needs its memory
+
         of = {u: np.asarray(s, np.int64) for u, s in zip(sets["uid"], sets["shingles"])}
         parent = {u: u for u in of}
 
