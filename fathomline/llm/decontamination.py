@@ -36,6 +36,8 @@ STRIDE = 4
 ITEMS, ITEM_CHARS = 2000, 4_000_000
 #: Words that are fingerprinted at a time.
 PIECE = 1 << 15
+#: Rows whose words are held at a time.
+ROWS = 512
 SHIFT = 4
 _WORD = re.compile(r"[^\W_]+")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -47,8 +49,17 @@ class _Ids(dict):
         return n
 
 
+#: Of ASCII: letters and digits as they are, all else a space.
+_ASCII = {c: c if chr(c).isalnum() else 32 for c in range(128)}
+_ASCII_BYTES = bytes(_ASCII.get(c, c) for c in range(256))
+
+
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters and digits, in lower case."""
+    text = text.lower()
+    if text.isascii():
+        return text.encode().translate(_ASCII_BYTES).decode().split()
+    return _WORD.findall(text)
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -62,30 +73,53 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(mix64(x).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def _sums(h: np.ndarray) -> np.ndarray:
-    """(64, words + 1) running sums of the pairs' signs, modulo 2 ** 16: a window's sums are a difference of two columns."""
-    signs = np.ascontiguousarray(_pairs(h).T).view(np.int8) * np.int8(2) - np.int8(1)
-    out = np.zeros((64, len(h) + 1), np.int16)
-    np.cumsum(signs, axis=1, dtype=np.int16, out=out[:, 1:])
-    return out
+class _Sums:
+    """Running sums of the pairs' signs, so that a window's sums are a difference of two of them, modulo 2 ** 16.
+
+    Sums are kept by place in blocks of STRIDE words: at[r][:, k] is that of the first STRIDE * k + r words. One
+    cumulative sum over blocks is enough, and windows at every STRIDE-th word are slices.
+    """
+
+    def __init__(self, h: np.ndarray) -> None:
+        self.h, self.words = h, len(h)
+        blocks = len(h) // STRIDE + 1
+        signs = np.zeros((64, blocks * STRIDE), np.int8)
+        signs[:, : len(h)] = np.ascontiguousarray(_pairs(h).T).view(np.int8) * np.int8(2) - np.int8(1)
+        inside = np.zeros((64, blocks), np.int16)
+        self.at = [np.zeros((64, blocks), np.int16)]
+        for r in range(STRIDE):
+            inside = inside + signs[:, r::STRIDE]
+            self.at.append(inside)
+        whole = self.at.pop()
+        np.cumsum(whole[:, :-1], axis=1, dtype=np.int16, out=self.at[0][:, 1:])
+        for r in range(1, STRIDE):
+            self.at[r] = self.at[r] + self.at[0]
+
+    def before(self, words: np.ndarray) -> np.ndarray:
+        """(64, places) sums of all words before each place."""
+        out = np.empty((64, len(words)), np.int16)
+        for r in range(STRIDE):
+            mine = words % STRIDE == r
+            out[:, mine] = self.at[r][:, words[mine] // STRIDE]
+        return out
 
 
 def _packed(difference: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(difference > 0, axis=0, bitorder="little").T).view(np.uint64)[:, 0]
 
 
-def fingerprints(h: np.ndarray, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def fingerprints(sums: _Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """SimHash of the pairs inside each window of words [start, end); a one-word window's is the word's own hash."""
-    out = _packed(sums[:, np.maximum(ends - 1, starts)] - sums[:, starts])
+    out = _packed(sums.before(np.maximum(ends - 1, starts)) - sums.before(starts))
     one = ends - starts == 1
-    out[one] = mix64(h[starts[one]] * _FACTOR)
+    out[one] = mix64(sums.h[starts[one]] * _FACTOR)
     return out
 
 
-def even_fingerprints(sums: np.ndarray, size: int, count: int, stride: int) -> np.ndarray:
-    """The same for `count` windows of `size` words, more than one, at words 0, stride, 2 * stride and so on, by slices."""
-    stop = (count - 1) * stride + 1
-    return _packed(sums[:, size - 1 : size - 1 + stop : stride] - sums[:, :stop:stride])
+def even_fingerprints(sums: _Sums, size: int, count: int) -> np.ndarray:
+    """The same for `count` windows of `size` words, more than one, at words 0, STRIDE, 2 * STRIDE and so on, by slices."""
+    block, place = divmod(size - 1, STRIDE)
+    return _packed(sums.at[place][:, block : block + count] - sums.at[0][:, :count])
 
 
 @dataclass
@@ -147,7 +181,7 @@ def prepared(rows: list[tuple], width: int) -> Items:
         size = max(s for s in sizes if shortest[s] <= len(w))
         starts = np.arange(shortest[size] - size + 1)
         h = _hashes(w)
-        for s, p in zip(starts, fingerprints(h, _sums(h), starts, starts + size)):
+        for s, p in zip(starts, fingerprints(_Sums(h), starts, starts + size)):
             members[size].append((number, int(s), p))
     classes = [_Class(s, shortest[s] - s + 1, np.array([p for _, _, p in m], np.uint64), np.array([i for i, _, _ in m]), np.array([f for _, f, _ in m])) for s, m in members.items()]
     return Items([k for k, _ in told], [len(w) for _, w in told], [shingles(w, width) for _, w in told], classes, width)
@@ -159,18 +193,18 @@ def _found(h: np.ndarray, ends: np.ndarray, classes: list[tuple[_Class, list[np.
     for at in range(0, len(h), PIECE):
         longest = max(c.size for c, _ in classes)
         piece = min(PIECE, len(h) - at)
-        sums = _sums(h[at : at + PIECE + longest])
+        sums = _Sums(h[at : at + PIECE + longest])
         for c, tables in classes:
             here = np.arange(at, at + piece, c.stride)
             stops = np.minimum(here + c.size, ends[here])
             # A document's last windows, and documents somewhat shorter than the size, have shorter ones.
             short = stops - here < c.size
-            full = min(len(here), (sums.shape[1] - c.size) // c.stride + 1) if c.size > 1 and sums.shape[1] > c.size else 0
-            starts, p = here[:full][~short[:full]], even_fingerprints(sums, c.size, full, c.stride)[~short[:full]] if full else np.empty(0, np.uint64)
+            full = min(len(here), (sums.words - c.size) // STRIDE + 1) if c.stride == STRIDE and c.size > 1 and sums.words >= c.size else 0
+            starts, p = here[:full][~short[:full]], even_fingerprints(sums, c.size, full)[~short[:full]] if full else np.empty(0, np.uint64)
             rest = short | (np.arange(len(here)) >= full)
             rest &= 5 * (stops - here) >= 4 * c.size
             starts = np.r_[starts, here[rest]]
-            p = np.r_[p, fingerprints(h[at:], sums, here[rest] - at, stops[rest] - at)]
+            p = np.r_[p, fingerprints(sums, here[rest] - at, stops[rest] - at)]
             near = np.zeros(len(p), bool)
             for table, (lo, hi) in zip(tables, BLOCKS):
                 near |= table[(p >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)]
@@ -192,25 +226,28 @@ def _searched(shared, least: float):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         items: Items = shared.value
         classes = [(c, t) for c, t in zip(items.classes, _tables(items))]
-        ids = _Ids()
-        texts = [words_of(t.decode("utf-8", "replace")) for t in utf8(batch.column("text"))]
-        numbers = np.concatenate([np.fromiter(map(ids.__getitem__, w), np.int64, len(w)) for w in texts])
-        sizes = np.array([len(w) for w in texts])
-        stops = np.cumsum(sizes)
-        h = _hashes(list(ids))[numbers] if len(numbers) else np.empty(0, np.uint64)
+        ids, known = _Ids(), np.empty(0, np.uint64)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        seen: set[tuple[int, int, int]] = set()
-        for item, begin, at in sorted(_found(h, np.repeat(stops, sizes), classes)) if len(h) else ():
-            doc = int(np.searchsorted(stops, at, side="right"))
-            words, first = texts[doc], int(stops[doc] - sizes[doc])
-            for start in range(begin - first - SHIFT, begin - first + SHIFT + 1):
-                lo, hi = max(0, start), min(len(words), start + items.sizes[item])
-                if hi <= lo or (doc, item, start) in seen:
-                    continue
-                seen.add((doc, item, start))
-                s = weighted_jaccard(items.shingles[item], shingles(words[lo:hi], items.width))
-                if s >= least and s > best.get((doc, item), (0.0,))[0]:
-                    best[doc, item] = (s, lo, hi)
+        for top in range(0, batch.num_rows, ROWS):
+            # Few rows at a time: lists of words take many times the memory of their text.
+            texts = [words_of(t.decode("utf-8", "replace")) for t in utf8(batch.column("text").slice(top, ROWS))]
+            numbers = np.concatenate([np.fromiter(map(ids.__getitem__, w), np.int64, len(w)) for w in texts])
+            if not len(numbers):
+                continue
+            known = np.concatenate([known, _hashes(list(itertools.islice(ids, len(known), None)))])
+            sizes = np.array([len(w) for w in texts])
+            stops, seen = np.cumsum(sizes), set()
+            for item, begin, at in sorted(_found(known[numbers], np.repeat(stops, sizes), classes)):
+                doc = int(np.searchsorted(stops, at, side="right"))
+                words, first = texts[doc], int(stops[doc] - sizes[doc])
+                for start in range(begin - first - SHIFT, begin - first + SHIFT + 1):
+                    lo, hi = max(0, start), min(len(words), start + items.sizes[item])
+                    if hi <= lo or (doc, item, start) in seen:
+                        continue
+                    seen.add((doc, item, start))
+                    s = weighted_jaccard(items.shingles[item], shingles(words[lo:hi], items.width))
+                    if s >= least and s > best.get((top + doc, item), (0.0,))[0]:
+                        best[top + doc, item] = (s, lo, hi)
         hits = batch.column(batch.num_columns - 1).to_pylist()
         for (doc, item), (s, lo, hi) in sorted(best.items()):
             hits[doc].append({"item_id": items.ids[item], "similarity": s, "start": lo, "stop": hi})

@@ -69,13 +69,22 @@ def test_fingerprint_matches_a_plain_loop():
     words = "a b c a b d e".split()
     h = dc._hashes(words)
     bits = dc._pairs(h).astype(int)
-    sums = dc._sums(h)
+    sums = dc._Sums(h)
     for a, b in ((0, 7), (2, 7), (2, 5), (3, 5)):
         want = sum(1 << k for k in range(64) if sum(2 * bits[i][k] - 1 for i in range(a, b - 1)) > 0)
         if b - a == 5:
-            assert int(dc.even_fingerprints(dc._sums(h[a:]), 5, 1, 4)[0]) == want
-        assert int(dc.fingerprints(h, sums, np.array([a]), np.array([b]))[0]) == want
-    assert dc.fingerprints(h, sums, np.array([0, 3]), np.array([1, 4])).tolist() == [int(dc.mix64(h[:1] * dc._FACTOR)[0])] * 2
+            assert int(dc.even_fingerprints(dc._Sums(h[a:]), 5, 1)[0]) == want
+        assert int(dc.fingerprints(sums, np.array([a]), np.array([b]))[0]) == want
+    assert dc.fingerprints(sums, np.array([0, 3]), np.array([1, 4])).tolist() == [int(dc.mix64(h[:1] * dc._FACTOR)[0])] * 2
+    long = dc._hashes([str(i % 37) for i in range(200)])
+    sums, starts = dc._Sums(long), np.arange(0, 180, dc.STRIDE)
+    for size in (2, 5, 9, 12, 18, 19):
+        assert dc.even_fingerprints(sums, size, len(starts)).tolist() == dc.fingerprints(sums, starts, starts + size).tolist()
+
+
+def test_words():
+    assert dc.words_of("A_b c-D9\x1c\x85 É’s!") == ["a", "b", "c", "d9", "é", "s"]
+    assert dc.words_of("A_b c-D9\x1c \t") == ["a", "b", "c", "d9"]
 
 
 def test_blocks_of_the_benchmark(spark, monkeypatch):
