@@ -5,8 +5,12 @@ size is STRIDE - 1 words less than its shortest item. Windows of that many words
 STRIDE-th word, get a 64-bit SimHash of their word pairs, and so do the first STRIDE parts of each item
 of that many words: one of them is where such a window is, wherever the item stands. The 64 bits are cut into three blocks: fingerprints within RADIUS agree within RADIUS // 3 bits in
 some block, so a table for each block of all values within that many bits of an item's block finds all of
-them. What is found is verified by the exact weighted Jaccard similarity of word shingles, weighted by how
-often they occur, between the item and the document's windows of the item's own length around the place.
+them. An edited passage can be further off than that and still be alike, so prints of single shingles at several
+places of each item stand beside them: a window that is at least `similarity` like an item lacks at most
+m - ceil(similarity * m) of the item's m shingles, so it has one of any set of one more, and those are looked up
+at every word. Both give places only. They are verified by the exact weighted Jaccard similarity of word shingles,
+weighted by how often they occur, between the item and every window of the item's own length over the place;
+at a document's ends windows are cut off.
 
 The benchmark is a stated query set: it goes to the workers in blocks of bounded size, one pass each.
 """
@@ -14,6 +18,7 @@ The benchmark is a stated query set: it goes to the workers in blocks of bounded
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -39,6 +44,8 @@ PIECE = 1 << 15
 #: Rows whose words are held at a time.
 ROWS = 512
 SHIFT = 4
+#: First bits of hashes of shingles that a table tells.
+TABLE_BITS = 22
 _WORD = re.compile(r"[^\W_]+")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,15 +152,36 @@ class _Class:
         return out
 
 
+def grams(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the `width` words from each word on that has so many from it on."""
+    n = max(0, len(h) - width + 1)
+    x = np.zeros(n, np.uint64)
+    for k in range(width):
+        x = x * _FACTOR + h[k : k + n]
+    return mix64(x)
+
+
+@dataclass
+class _Anchors:
+    """Hashes of shingles of one width, ascending, with the number of the item that each stands for, and a table of their first bits."""
+
+    codes: np.ndarray
+    item: np.ndarray
+    table: np.ndarray
+
+
 @dataclass
 class Items:
-    """A block of the benchmark: ids, words and weighted shingles of each item, and the size classes."""
+    """A block of the benchmark: ids, words and weighted shingles of each item, these by hash too, the size classes, and anchors by shingle width."""
 
     ids: list
     sizes: list[int]
     shingles: list[Counter]
+    codes: list[dict[int, int]]
     classes: list[_Class]
+    anchors: dict[int, _Anchors]
     width: int
+    least: float
 
 
 def shingles(words: list, width: int) -> Counter:
@@ -166,7 +194,34 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
     return both / max(1, sum(a.values()) + sum(b.values()) - both)
 
 
-def prepared(rows: list[tuple], width: int) -> Items:
+def _least_common(total: int, least: float) -> int:
+    """How many of its `total` shingles an item has in common with any window that is at least `least` like it."""
+    return max(1, math.ceil(least * total - 1e-9))
+
+
+def _anchored(codes: list[dict[int, int]], widths: list[int], least: float) -> dict[int, _Anchors]:
+    """For each item its shingles that the fewest items have, as many as no window that is alike can lack."""
+    held = Counter(c for mine in codes for c in mine)
+    chosen: dict[int, list[tuple[int, int]]] = {}
+    for number, (mine, width) in enumerate(zip(codes, widths)):
+        total = sum(mine.values())
+        spare = total - _least_common(total, least)
+        for c in sorted(mine, key=lambda c: (held[c], c)):
+            chosen.setdefault(width, []).append((c, number))
+            spare -= mine[c]
+            if spare < 0:
+                break
+    out = {}
+    for width, pairs in chosen.items():
+        pairs.sort()
+        found = np.array([c for c, _ in pairs], np.uint64)
+        table = np.zeros(1 << TABLE_BITS, bool)
+        table[found >> np.uint64(64 - TABLE_BITS)] = True
+        out[width] = _Anchors(found, np.array([i for _, i in pairs]), table)
+    return out
+
+
+def prepared(rows: list[tuple], width: int, least: float) -> Items:
     """Items of (id, text) rows; those without words are left out."""
     told = [(k, w) for k, t in rows if (w := words_of(t or ""))]
     lengths = sorted({len(w) for _, w in told})
@@ -184,7 +239,10 @@ def prepared(rows: list[tuple], width: int) -> Items:
         for s, p in zip(starts, fingerprints(_Sums(h), starts, starts + size)):
             members[size].append((number, int(s), p))
     classes = [_Class(s, shortest[s] - s + 1, np.array([p for _, _, p in m], np.uint64), np.array([i for i, _, _ in m]), np.array([f for _, f, _ in m])) for s, m in members.items()]
-    return Items([k for k, _ in told], [len(w) for _, w in told], [shingles(w, width) for _, w in told], classes, width)
+    widths = [min(width, len(w)) for _, w in told]
+    codes = [dict(Counter(grams(_hashes(w), n).tolist())) for (_, w), n in zip(told, widths)]
+    anchors = _anchored(codes, widths, least)
+    return Items([k for k, _ in told], [len(w) for _, w in told], [shingles(w, width) for _, w in told], codes, classes, anchors, width, least)
 
 
 def _found(h: np.ndarray, ends: np.ndarray, classes: list[tuple[_Class, list[np.ndarray]]]) -> set[tuple[int, int, int]]:
@@ -217,6 +275,51 @@ def _found(h: np.ndarray, ends: np.ndarray, classes: list[tuple[_Class, list[np.
     return found
 
 
+def _anchors_at(h: np.ndarray, ends: np.ndarray, anchors: dict[int, _Anchors]) -> tuple[dict[int, np.ndarray], list[tuple[int, int]]]:
+    """Hashes of the shingles from each word on by width, and (item's number, word) of each anchor inside a document."""
+    codes, found = {}, []
+    for width, a in anchors.items():
+        codes[width] = mine = grams(h, width)
+        at = np.flatnonzero(a.table[mine >> np.uint64(64 - TABLE_BITS)])
+        at = at[at + width <= ends[at]]
+        lo, hi = np.searchsorted(a.codes, mine[at], "left"), np.searchsorted(a.codes, mine[at], "right")
+        for p, x, y in zip(at[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist()):
+            found += [(i, p) for i in a.item[x:y].tolist()]
+    return codes, found
+
+
+def _most_alike(codes: np.ndarray, want: dict[int, int], total: int, starts: list[tuple[int, int]], least: float) -> tuple[float, int]:
+    """(similarity, start) of the first most similar window of `total` shingles of a document's `codes` that starts in one of the ranges [lo, hi], cut off at the document's ends."""
+    best, need, done = (0.0, 0), _least_common(total, least), -(1 << 62)
+    for lo, hi in sorted(starts):
+        lo, hi = max(lo, done, 1 - total), min(hi, len(codes) - 1)
+        if lo > hi:
+            continue
+        done = hi + 1
+        x = y = base = max(lo, 0)
+        here = codes[base : hi + total].tolist()
+        if sum(map(want.__contains__, here)) < need:
+            continue
+        inside, both = dict.fromkeys(want, 0), 0
+        for start in range(lo, hi + 1):
+            first, stop = max(start, 0), min(start + total, len(codes))
+            while y < stop:
+                c = here[y - base]
+                if c in want:
+                    inside[c] += 1
+                    both += inside[c] <= want[c]
+                y += 1
+            while x < first:
+                c = here[x - base]
+                if c in want:
+                    both -= inside[c] <= want[c]
+                    inside[c] -= 1
+                x += 1
+            if both >= need and (s := both / (total + stop - first - both)) > best[0]:
+                best = s, start
+    return best
+
+
 _HIT = pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
@@ -236,17 +339,25 @@ def _searched(shared, least: float):
                 continue
             known = np.concatenate([known, _hashes(list(itertools.islice(ids, len(known), None)))])
             sizes = np.array([len(w) for w in texts])
-            stops, seen = np.cumsum(sizes), set()
-            for item, begin, at in sorted(_found(known[numbers], np.repeat(stops, sizes), classes)):
+            stops, h = np.cumsum(sizes), known[numbers]
+            ends = np.repeat(stops, sizes)
+            starts: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            codes, anchors = _anchors_at(h, ends, items.anchors)
+            for at, item, lo, hi in [
+                *((p, i, p - items.sizes[i] + min(items.width, items.sizes[i]), p) for i, p in anchors),
+                *((at, i, begin - SHIFT, begin + SHIFT) for i, begin, at in _found(h, ends, classes)),
+            ]:
                 doc = int(np.searchsorted(stops, at, side="right"))
-                words, first = texts[doc], int(stops[doc] - sizes[doc])
-                for start in range(begin - first - SHIFT, begin - first + SHIFT + 1):
-                    lo, hi = max(0, start), min(len(words), start + items.sizes[item])
-                    if hi <= lo or (doc, item, start) in seen:
-                        continue
-                    seen.add((doc, item, start))
+                first = int(stops[doc] - sizes[doc])
+                starts.setdefault((doc, item), []).append((lo - first, hi - first))
+            for (doc, item), ranges in starts.items():
+                size, width, words = items.sizes[item], min(items.width, items.sizes[item]), texts[doc]
+                first, last = int(stops[doc] - sizes[doc]), int(stops[doc]) - width + 1
+                s, start = _most_alike(codes[width][first : max(first, last)], items.codes[item], size - width + 1, ranges, least)
+                if s >= least:
+                    lo, hi = max(0, start), min(len(words), start + size)
                     s = weighted_jaccard(items.shingles[item], shingles(words[lo:hi], items.width))
-                    if s >= least and s > best.get((top + doc, item), (0.0,))[0]:
+                    if s >= least:
                         best[top + doc, item] = (s, lo, hi)
         hits = batch.column(batch.num_columns - 1).to_pylist()
         for (doc, item), (s, lo, hi) in sorted(best.items()):
@@ -279,7 +390,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5
     chars = 0
 
     def searched(rows: DataFrame) -> DataFrame:
-        items = prepared(block, shingle_words)
+        items = prepared(block, shingle_words, similarity)
         return rows.mapInArrow(_searched(docs.sparkSession.sparkContext.broadcast(items), similarity), rows.schema) if items.classes else rows
 
     for r in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():

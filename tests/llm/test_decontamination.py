@@ -1,6 +1,9 @@
 import random
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fathomline.llm import decontamination as dc
@@ -105,3 +108,52 @@ def test_edges(spark):
     none = bench.where(F.lit(False))
     assert not any(r.contaminated for r in dc.decontaminate(docs, none).collect())
     assert dc.decontaminate(docs.where(F.lit(False)), bench).collect() == []
+
+
+def edited(seed, lengths, each):
+    """(kind of edit, document, item) with the most words changed in one piece, at a place of the item, that leave it 0.8 alike, and one word fewer or more."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    for n in lengths:
+        for k in range(each):
+            item = [word() for _ in range(n)]
+            r = (n - 4) // 9 + rng.choice([-1, 0, 0, 0, 1])
+            at = rng.randrange(5, n - r - 5)
+            m = max(1, r - 4)
+            around = [[word() for _ in range(rng.randrange(30))] for _ in range(2)]
+            new = [word() for _ in range(max(r, m))]
+            for kind, passage in {
+                "head replaced": new[:r] + item[r:], "head trimmed": item[r:], "tail replaced": item[: n - r] + new[:r], "tail trimmed": item[: n - r],
+                "middle replaced": item[:at] + new[:m] + item[at + m :], "middle inserted": item[:at] + new[:m] + item[at:], "middle cut": item[:at] + item[at + m :],
+            }.items():
+                yield kind, " ".join(around[0] * (k % 3 > 0) + passage + around[1] * (k % 3 < 2)), " ".join(item)
+
+
+def found_by_kind(cases):
+    """Pairs by kind of edit that an exact search of all windows accepts, and those of them that the operator's row function gives."""
+    items = dc.prepared([(i, x) for i, (_, _, x) in enumerate(cases)], 5, 0.8)
+    batch = pa.RecordBatch.from_arrays([pa.array([d for _, d, _ in cases]), pa.array([[]] * len(cases), pa.list_(dc._HIT))], names=["text", "hits"])
+    (out,) = dc._searched(SimpleNamespace(value=items), 0.8)(iter([batch]))
+    want, got = Counter(), Counter()
+    for i, ((kind, doc, item), hits) in enumerate(zip(cases, out.column("hits").to_pylist())):
+        w, y = doc.split(), item.split()
+        best = max(dc.weighted_jaccard(dc.shingles(y, 5), dc.shingles(w[max(0, a) : a + len(y)], 5)) for a in range(1 - len(y), len(w)))
+        mine = {h["item_id"]: h["similarity"] for h in hits}
+        assert (i in mine) <= (best >= 0.8) and mine.get(i, best) == best
+        want[kind] += best >= 0.8
+        got[kind] += i in mine
+    return want, got
+
+
+def test_edits_in_one_piece_are_all_found():
+    want, got = found_by_kind(list(edited(11, [24, 49, 59, 100, 200], 12)))
+    assert len(want) == 7 and min(want.values()) >= 20
+    assert got == want
+
+
+def test_windows_of_items_that_repeat_shingles():
+    rng = random.Random(3)
+    some = lambda n: " ".join(rng.choices(["a", "b"], k=n))
+    cases = [(str(n), some(120), some(n)) for n in [1, 2, 3, 4, 5, 6, 8] * 12]
+    want, got = found_by_kind(cases)
+    assert sum(want.values()) > 30 and got == want
