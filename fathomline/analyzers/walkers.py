@@ -1,13 +1,15 @@
 """Media parameters of formats that have to be walked through: chunks, segments and bit fields.
 
-Each walker is a pure function of a file's leading bytes; it gives what it could read, and raises ValueError
-for bad data. They run in batches over Arrow, and no error of one file stops another.
+Each walker is a pure function of a file's bytes, as bytes or as FileBytes, which reads what is asked for; it
+gives what it could read, and raises ValueError for bad data. They run in batches over Arrow, and no error of one file stops another.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Callable
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,18 +41,47 @@ class BadData(ValueError):
         self.known = known
 
 
-def png(data: bytes) -> dict:
+#: Bytes of a file that are held at a time, and digits of a number at most.
+PIECE, DIGITS = 1 << 14, 4300
+
+
+class FileBytes:
+    """An open file's bytes by index or slice; one piece of it is held at a time."""
+
+    def __init__(self, file: BinaryIO) -> None:
+        self.file, self.size, self.at, self.piece = file, os.fstat(file.fileno()).st_size, 0, b""
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, key: int | slice) -> int | bytes:
+        start, stop, _ = key.indices(self.size) if isinstance(key, slice) else (key, key + 1, 1)
+        if start >= self.size and not isinstance(key, slice):
+            raise IndexError(key)
+        if start >= stop:
+            return b""
+        if start < self.at or stop > self.at + len(self.piece):
+            self.file.seek(start)
+            self.at, self.piece = start, self.file.read(max(PIECE, stop - start))
+        return self.piece[start - self.at : stop - self.at] if isinstance(key, slice) else self.piece[start - self.at]
+
+
+def _unpack(layout: str, data: bytes | FileBytes, at: int) -> tuple:
+    return struct.unpack(layout, data[at : at + struct.calcsize(layout)])
+
+
+def png(data: bytes | FileBytes) -> dict:
     """Dimensions of IHDR; a PNG with an animation control chunk before its image is an apng."""
     apple = data[12:16] == b"CgBI"
     at = 24 if apple else 8
     if data[at + 4 : at + 8] != b"IHDR" or len(data) < at + 16:
         raise ValueError("no IHDR")
-    width, height = struct.unpack_from(">II", data, at + 8)
+    width, height = _unpack(">II", data, at + 8)
     out = {"format": "png", "codec": "flate", "width": width, "height": height}
     if apple:
         out["subformat"] = "apple"
     while at + 8 <= len(data):
-        size, kind = struct.unpack_from(">I4s", data, at)
+        size, kind = _unpack(">I4s", data, at)
         if kind == b"acTL":
             out["format"] = "apng"
         if kind in (b"acTL", b"IDAT", b"IEND"):
@@ -59,11 +90,11 @@ def png(data: bytes) -> dict:
     return out
 
 
-def gif(data: bytes) -> dict:
+def gif(data: bytes | FileBytes) -> dict:
     """Logical screen size; two image descriptors make an agif."""
     if len(data) < 10:
         raise ValueError("too short")
-    width, height = struct.unpack_from("<HH", data, 6)
+    width, height = _unpack("<HH", data, 6)
     out = {"format": "gif", "codec": "lzw", "width": width, "height": height}
     if len(data) < 13:
         return out
@@ -90,7 +121,7 @@ def gif(data: bytes) -> dict:
     return out
 
 
-def jpeg(data: bytes) -> dict:
+def jpeg(data: bytes | FileBytes) -> dict:
     """Dimensions of the first start-of-frame segment."""
     out, at = {"format": "jpeg", "codec": "jpeg"}, 2
     while at + 4 <= len(data):
@@ -99,11 +130,11 @@ def jpeg(data: bytes) -> dict:
         if data[at + 1] == 0xFF:
             at += 1
             continue
-        marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+        marker, size = data[at + 1], _unpack(">H", data, at + 2)[0]
         if marker in SOF_MARKERS:
             if at + 9 > len(data):
                 raise ValueError("start of frame cut off")
-            out["height"], out["width"] = struct.unpack_from(">HH", data, at + 5)
+            out["height"], out["width"] = _unpack(">HH", data, at + 5)
             return out
         if marker in (0xD9, 0xDA) or size < 2:
             raise ValueError("no start of frame")
@@ -111,39 +142,39 @@ def jpeg(data: bytes) -> dict:
     raise ValueError("no start of frame in the bytes read")
 
 
-def bmp(data: bytes) -> dict:
+def bmp(data: bytes | FileBytes) -> dict:
     """Dimensions of the bitmap header of either kind, as the unsigned numbers that they are stored as."""
     if len(data) < 26:
         raise ValueError("too short")
-    size = struct.unpack_from("<I", data, 14)[0]
+    size = _unpack("<I", data, 14)[0]
     if 12 <= size < 40:
-        width, height = struct.unpack_from("<HH", data, 18)
+        width, height = _unpack("<HH", data, 18)
         return {"format": "bmp", "codec": "uncompressed", "width": width, "height": height}
     if not 40 <= size <= 127:
         raise ValueError("bad header size")
-    width, height = struct.unpack_from("<II", data, 18)
+    width, height = _unpack("<II", data, 18)
     out = {"format": "bmp", "width": width, "height": height}
     if len(data) >= 34:
-        number = struct.unpack_from("<I", data, 30)[0]
+        number = _unpack("<I", data, 30)[0]
         out["codec"] = BITMAP_CODECS.get(number, str(number))
     return out
 
 
-def wav(data: bytes) -> dict:
+def wav(data: bytes | FileBytes) -> dict:
     """Parameters of the format chunk, wherever it stands."""
     at = 12
     while at + 8 <= len(data):
-        kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        kind, size = data[at : at + 4], _unpack("<I", data, at + 4)[0]
         if kind == b"fmt ":
             if not 16 <= size <= 80 or at + 24 > len(data):
                 raise ValueError("bad format chunk")
-            form, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", data, at + 8)
+            form, channels, rate, _, _, bits = _unpack("<HHIIHH", data, at + 8)
             return {"format": "wav", "acodec": WAVE_CODECS.get(form, f"0x{form:x}"), "anch": channels, "arate": rate, "asbits": bits or 16}
         at += 8 + size + (size & 1)
     raise ValueError("no format chunk")
 
 
-def flac(data: bytes) -> dict:
+def flac(data: bytes | FileBytes) -> dict:
     if len(data) < 26:
         raise ValueError("too short")
     if data[4] not in (0, 0x80) or not 34 <= int.from_bytes(data[5:8], "big") <= 255:
@@ -152,11 +183,11 @@ def flac(data: bytes) -> dict:
     return {"format": "flac", "acodec": "flac", "anch": (bits >> 41 & 7) + 1, "asbits": (bits >> 36 & 31) + 1, "arate": bits >> 44}
 
 
-def au(data: bytes) -> dict:
+def au(data: bytes | FileBytes) -> dict:
     """Sun audio: all in one fixed header, with the codec by number."""
     if len(data) < 24:
         raise ValueError("too short")
-    start, _, encoding, rate, channels = struct.unpack_from(">5I", data, 4)
+    start, _, encoding, rate, channels = _unpack(">5I", data, 4)
     if not 24 <= start <= 255 or encoding not in SUN_CODECS or not 1 <= channels <= 16:
         raise ValueError("bad header")
     codec, bits = SUN_CODECS[encoding]
@@ -178,12 +209,12 @@ def extended(exponent: int, mantissa: int) -> int:
     return -value if exponent & 0x8000 else value
 
 
-def aiff(data: bytes) -> dict:
+def aiff(data: bytes | FileBytes) -> dict:
     """The common chunk, which comes first; its sample rate is an extended float."""
     out = {"format": "aiff", "acodec": "pcm"}
     if len(data) < 38:
         return out
-    channels, _, bits, exponent, mantissa = struct.unpack_from(">HIHHQ", data, 20)
+    channels, _, bits, exponent, mantissa = _unpack(">HIHHQ", data, 20)
     if not CHANNEL_RANGE[0] <= channels <= CHANNEL_RANGE[1]:
         raise BadData(out)
     out["anch"] = channels
@@ -196,22 +227,22 @@ def aiff(data: bytes) -> dict:
     return out | {"asbits": bits}
 
 
-def tiff(data: bytes) -> dict:
+def tiff(data: bytes | FileBytes) -> dict:
     """Dimensions and compression of the first directory."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if not order or len(data) < 8:
         raise ValueError("too short")
-    at = struct.unpack_from(order + "I", data, 4)[0]
+    at = _unpack(order + "I", data, 4)[0]
     out = {"format": "tiff"}
     if at + 2 > len(data):
         return out
     codecs = {1: "uncompressed", 2: "rle", 3: "fax", 4: "fax", 5: "lzw", 6: "jpeg", 7: "jpeg", 8: "flate", 32773: "rle", 32946: "flate"}
-    for k in range(struct.unpack_from(order + "H", data, at)[0]):
+    for k in range(_unpack(order + "H", data, at)[0]):
         entry = at + 2 + 12 * k
         if entry + 12 > len(data):
             break
-        tag, kind = struct.unpack_from(order + "HH", data, entry)
-        value = struct.unpack_from(order + {1: "B", 3: "H", 4: "I"}.get(kind, "I"), data, entry + 8)[0]
+        tag, kind = _unpack(order + "HH", data, entry)
+        value = _unpack(order + {1: "B", 3: "H", 4: "I"}.get(kind, "I"), data, entry + 8)[0]
         if tag == 256:
             out["width"] = value
         elif tag == 257:
@@ -221,7 +252,7 @@ def tiff(data: bytes) -> dict:
     return out
 
 
-def pnm(data: bytes) -> dict:
+def pnm(data: bytes | FileBytes) -> dict:
     """Text tokens of width and height, comments skipped."""
     kinds = {1: ("pbm", "uncompressed-ascii"), 2: ("pgm", "uncompressed-ascii"), 3: ("ppm", "uncompressed-ascii"), 4: ("pbm", "uncompressed"), 5: ("pgm", "uncompressed"), 6: ("ppm", "uncompressed"), 7: ("ppmx", "uncompressed")}
     subformat, codec = kinds.get(data[1] - 48, (None, None))
@@ -238,6 +269,8 @@ def pnm(data: bytes) -> dict:
         end = at
         while end < len(data) and data[end : end + 1].isdigit():
             end += 1
+            if end - at > DIGITS:
+                raise ValueError("number too long")
         if end == at or end == len(data):
             raise ValueError("number expected")
         numbers.append(int(data[at:end]))
@@ -245,14 +278,15 @@ def pnm(data: bytes) -> dict:
     return {"format": "pnm", "subformat": subformat, "codec": codec, "width": numbers[0], "height": numbers[1]}
 
 
-WALKERS: dict[str, Callable[[bytes], dict]] = {"png": png, "gif": gif, "jpeg": jpeg, "bmp": bmp, "wav": wav, "flac": flac, "au": au, "aiff": aiff, "tiff": tiff, "pnm": pnm}
+WALKERS: dict[str, Callable[[bytes | FileBytes], dict]] = {"png": png, "gif": gif, "jpeg": jpeg, "bmp": bmp, "wav": wav, "flac": flac, "au": au, "aiff": aiff, "tiff": tiff, "pnm": pnm}
 
 
-def walked(files: DataFrame, content: str = "content") -> DataFrame:
+def walked(files: DataFrame, content: str = "content", name: str | None = None, limit: int = 0) -> DataFrame:
     """files (with format) with the walkers' values appended, own columns of these names replaced; format as the walker refines it.
 
     error is bad_data where a walker refuses the bytes. Formats without a walker keep their format and have
-    nulls, as have null contents.
+    nulls, as have null contents. Where name has the files' names, contents of limit bytes or more may be only their
+    beginnings: walkers then read and seek in the file itself. One that can't be read then has error bad_open.
     """
     kept = [f for f in files.schema.fields if f.name not in NAMES]
     schema = StructType([*kept, *(StructField(n, t) for n, t in NAMES.items())])
@@ -260,11 +294,18 @@ def walked(files: DataFrame, content: str = "content") -> DataFrame:
     def run(it):
         for batch in it:
             rows = []
-            for data, name in zip(batch.column(content), batch.column("format").to_pylist()):
-                data, walker, out = data.as_py(), WALKERS.get(name), {"format": name}
+            files = batch.column(name).to_pylist() if name else [None] * batch.num_rows
+            for data, kind, file in zip(batch.column(content), batch.column("format").to_pylist(), files):
+                data, walker, out = data.as_py(), WALKERS.get(kind), {"format": kind}
                 if walker and data is not None:
                     try:
-                        out |= walker(data)
+                        if file is not None and len(data) >= limit:
+                            with open(file, "rb") as f:
+                                out |= walker(FileBytes(f))
+                        else:
+                            out |= walker(data)
+                    except OSError:
+                        out["error"] = "bad_open"
                     except BadData as e:
                         out |= e.known | {"error": "bad_data"}
                     except (ValueError, struct.error, IndexError):

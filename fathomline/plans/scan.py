@@ -16,7 +16,7 @@ from fathomline.operators.snapshots import is_thumbnail, with_change
 from fathomline.sources import listing
 from fathomline.sources.info_lines import format_line
 
-#: Leading bytes that walkers get; enough for the headers of all formats with a walker.
+#: Leading bytes for detection and fixed layouts, and for walkers of files that are shorter; of others they read and seek in the file.
 ANALYZED_BYTES = 65536
 PARAMETERS = ["width", "height", "codec", "subformat", "vcodec", "acodec", "anch", "arate", "asbits", "error"]
 
@@ -52,12 +52,12 @@ def _read(it: Iterator[pa.RecordBatch], hashed: bool, limit: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(contents, pa.binary()), pa.array(digests, pa.string()), pa.array(errors, pa.string())], names=[*batch.schema.names, "content", "sha256", "read_error"])
 
 
-def analyzed(files: DataFrame, content: str = "content") -> DataFrame:
-    """files with format and PARAMETERS, in one pass: column expressions where the layout is fixed, else walkers."""
+def analyzed(files: DataFrame, content: str = "content", name: str | None = None, limit: int = 0) -> DataFrame:
+    """files with format and PARAMETERS, in one pass: column expressions where the layout is fixed, else walkers; name and limit as walked() has them."""
     found = parameters(detect(files, content), content)
     fixed = [c for c in PARAMETERS if c != "subformat"]
     found = found.withColumnsRenamed({c: f"fixed_{c}" for c in fixed}).withColumn("detected", F.col("format"))
-    walks = walked(found, content)
+    walks = walked(found, content, name, limit)
     by_walker = F.col("detected").isin(*WALKERS)
     chosen = {c: F.when(by_walker, F.col(c) if c in walks.columns else F.lit(None)).otherwise(F.col(f"fixed_{c}")) for c in fixed}
     return walks.withColumns(chosen).drop("detected", "confidence", *(f"fixed_{c}" for c in fixed))
@@ -74,7 +74,7 @@ def scan(spark: SparkSession, paths: list[str], old: DataFrame | None = None, sh
         files = with_change(files, old).where("changed").drop("changed")
     files = files.repartition("f")
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in files.schema.fields)}, content binary, sha256 string, read_error string"
-    found = analyzed(files.mapInArrow(lambda it: _read(it, sha256, ANALYZED_BYTES), schema))
+    found = analyzed(files.mapInArrow(lambda it: _read(it, sha256, ANALYZED_BYTES), schema), name="f", limit=ANALYZED_BYTES)
     found = found.withColumn("error", F.coalesce("read_error", "error")).withColumn("format", F.when(F.col("is_symlink"), "symlink").otherwise(F.col("format")))
     return found.drop("content", "read_error").where("error is null or error in ('bad_data', 'bad_read_sha256')")
 

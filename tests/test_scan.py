@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 
 from fathomline.plans.scan import info_lines, scan
 from fathomline.sources.info_lines import parsed_lines, read_info_lines, snapshot
 from pyspark.sql import functions as F
 
-from tests.test_analyzers import IHDR
+from tests.test_analyzers import GIF_IMAGE, IHDR
 
 
 def test_scan_twice(spark, tmp_path):
@@ -31,3 +32,27 @@ def test_scan_twice(spark, tmp_path):
     assert scan(spark, [str(root)], old, thumbnails=False).count() == 0
     (root / "e.gz").write_bytes(b"\x1f\x8b\x08??")
     assert [os.path.basename(r.f) for r in scan(spark, [str(root)], old, thumbnails=False).collect()] == ["e.gz"]
+
+
+def test_parameters_far_into_a_file(spark, tmp_path):
+    root, many = tmp_path / "files", 200_000
+    root.mkdir()
+    frame = b",\0\0\0\0\1\0\1\0\0\2" + (b"\xff" + b"p" * 255) * 800 + b"\0"
+    entry = lambda tag, value: struct.pack("<HHII", tag, 4, 1, value)
+    files = {
+        "a.gif": b"GIF89a\3\0\4\0\0\0\0" + frame + GIF_IMAGE + b";",
+        "b.gif": b"GIF89a\3\0\4\0\0\0\0" + frame + b";",
+        "c.tif": b"II*\0" + struct.pack("<I", 8 + many) + b"p" * many + struct.pack("<H", 10) + entry(256, 70) + entry(257, 90) + entry(259, 5) + entry(300, 0) * 7,
+        "d.jpg": b"\xff\xd8" + (b"\xff\xe1\xff\xff" + b"p" * 65533) * 3 + b"\xff\xc0\0\x11\x08\0\x10\0\x20" + b"\0" * 12,
+        "e.wav": b"RIFF1234WAVEJUNK" + struct.pack("<I", many) + b"p" * many + b"fmt \x10\0\0\0" + struct.pack("<HHIIHH", 1, 2, 44100, 0, 0, 16),
+        "f.png": IHDR + struct.pack(">I", many) + b"iCCP" + b"p" * many + b"crc!" + struct.pack(">I", 8) + b"acTL" + b"\0" * 12,
+        "g.jpg": b"\xff\xd8" + b"\xff\xe1\xff\xff" + b"p" * 65533 + b"\xff\xe1\xff\xff",
+    }
+    for name, data in files.items():
+        (root / name).write_bytes(data)
+    rows = {os.path.basename(r.f): r for r in scan(spark, [str(root)]).collect()}
+    assert {k: r.format for k, r in rows.items()} == {"a.gif": "agif", "b.gif": "gif", "c.tif": "tiff", "d.jpg": "jpeg", "e.wav": "wav", "f.png": "apng", "g.jpg": "jpeg"}
+    assert (rows["c.tif"].width, rows["c.tif"].height, rows["c.tif"].codec) == (70, 90, "lzw")
+    assert (rows["d.jpg"].width, rows["d.jpg"].height, rows["d.jpg"].error) == (32, 16, None)
+    assert (rows["e.wav"].acodec, rows["e.wav"].anch, rows["e.wav"].arate, rows["e.wav"].asbits) == ("pcm", 2, 44100, 16)
+    assert rows["g.jpg"].error == "bad_data" and all(rows[k].sha256 == hashlib.sha256(data).hexdigest() for k, data in files.items())
