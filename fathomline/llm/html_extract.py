@@ -24,8 +24,14 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i img ins kb
 BOILERPLATE = frozenset("head nav header footer aside form menu button select textarea noscript template iframe object svg canvas dialog script style title".split())
 CONTENT = frozenset(["article", "main"])
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form toolbar".split())
+#: Start tags that end an open p; for li, dd and dt those that end it, and elements beyond which no open one is looked for.
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
+ENDS_ITEM = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt")}
+SCOPE = frozenset("applet button caption html marquee object table td template th".split())
+LISTS = SCOPE | {"ul", "ol", "dl", "menu", "dir"}
+#: Words of class and id; after no-, with-, without- and has- they tell of a page's layout, not of the element.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|notice|popup|modal|overlay|newsletter|subscribe|signup|login"
+    r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|notice|popup|modal|overlay|newsletter|subscribe|signup|login"
     r"|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|header|footer|masthead|toolbar|share|sharing|social|related|recommended|comments?|disqus|respond|reply|replies|widget)(?:$|[\s_-])",
     re.IGNORECASE,
 )
@@ -51,7 +57,21 @@ class _Lines(HTMLParser):
             self.lines.append([[], 0, 0])
         self.lines[-1][2] = self._state()[1]
 
+    def _imply_end(self, tags: tuple[str, ...], scope: frozenset[str]) -> None:
+        """Ends the innermost open element of these tags inside the scope; what is implied is no tag of the page."""
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] in tags:
+                self._break()
+                del self.open[k:]
+                break
+            if self.open[k][0] in scope:
+                break
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ENDS_ITEM:
+            self._imply_end(ENDS_ITEM[tag], LISTS)
+        if tag in ENDS_P or tag in ENDS_ITEM:
+            self._imply_end(("p",), SCOPE)
         skip, element = self._state()
         if tag not in INLINE:
             self._break()
@@ -114,10 +134,8 @@ def extract(html: str) -> str:
     ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in lines], float))
     content = ratio >= min(ratio.max(), SHARE * ratio.mean())
     elements = {element for (_, _, element), ok in zip(lines, content) if ok and element}
-    if elements:
-        # The text is in article or main elements: lines beside them are not the article's.
-        return " ".join(text for text, _, element in lines if element in elements)
-    return " ".join(text for (text, _, _), ok in zip(lines, content) if ok)
+    # An article or main element with content is text as a whole; beside it the ratios choose.
+    return " ".join(text for (text, _, element), ok in zip(lines, content) if ok or element in elements)
 
 
 @batches

@@ -46,3 +46,21 @@ def test_table(spark):
     out = he.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
     assert sorted([(str(r.page_id), r.n_chars) for r in out]) == [("1", 1), ("1", 1), ("2", 199999), ("None", 0)]
     assert he.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+STORY = "A long sentence of the story that goes on and on for a while, as stories do. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div><p>{STORY}</p><p>{STORY}</p></div><article><h3>Teaser</h3><p>{STORY}</p></article>", f"{STORY}{STORY}Teaser {STORY}"),
+        (f"<div class='content no-sidebar'><article><p>{STORY}</article></div><div class=sidebar>links</div>", STORY),
+        (f"<div class='with-sidebar'><div class='has_menu' id=without-ads><p>{STORY}</p></div></div><div class='piano-menu'>links</div>", STORY),
+        (f"<article><p class=ad>Buy now<p>{STORY}<p class=ad>Buy <b>more<div>{STORY}</div></article>", f"{STORY}{STORY}"),
+        (f"<article><ul><li class=promo>Buy<ul><li>this</ul><li>{STORY}<li class=promo>Buy</ul><p>{STORY}</article>", f"{STORY}{STORY}"),
+        (f"<article><dl><dt class=ad>Buy<dd>{STORY}</dl></article>", STORY),
+    ],
+)
+def test_clusters_beside_elements_layout_names_and_implied_ends(page, want):
+    assert he.extract(page) == want.strip()
