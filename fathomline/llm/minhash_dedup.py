@@ -5,7 +5,9 @@ distance of two signatures is the number of unlike minima. Chunks of WIDTH minim
 if at most 2 * CHUNKS - 1 minima differ, some chunk has at most one error. Each chunk is therefore
 indexed once for each minimum that may be in error, with that minimum left out, and all pairs within
 that distance share a key. At a Jaccard similarity of 0.8 a chunk has at most one error with probability
-0.82, so a pair is missed with probability 0.18 ** 10, below 4e-8.
+0.82, so a pair shares no key with probability 0.18 ** 10, below 4e-8. Pairs that share one and are not compared
+with their bucket's smallest member are dropped beyond RADIUS, without the exact check; at 0.8 that has probability
+P(Bin(40, 0.2) >= 20) = 2.2e-5, and this is the bound on what is missed.
 
 Candidates are confirmed on the full sets. Equal sets are one class from the start, and within a
 bucket each class is first compared with the bucket's smallest member only; what stays unlinked is then
