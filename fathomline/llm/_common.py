@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where the session names none (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where a session of one machine names none (tests), a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         root = tempfile.mkdtemp(prefix="fathomline-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -32,22 +36,36 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
+    """df written as Parquet to the shared folder and read again: cuts lineage and survives lost executors.
+
+    The files go when the session's file system is closed, that is, when the driver ends, or earlier by dropped().
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table that saved() made and that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for folder in folders:
-        if folder.startswith(("file:", "hdfs:", "s3", "abfs", "gs:", "/")) and scratch_root(spark).split(":")[-1].lstrip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables that saved() made and that nothing reads any more."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """names, each with as many underscores appended as make it unlike all columns (Spark tells no upper from lower case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def fraction_hash(column: str = "doc_id"):

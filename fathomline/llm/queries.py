@@ -34,7 +34,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400, words=50)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hmm_scoring": op10_hmm_scoring,
 }
 
-#: Removed runs from the starts of repeated 400-byte windows; what is left of the hexadecimal text between them is hashed.
+#: Removed runs from the starts of repeated 400-byte windows; what is left of the hexadecimal text between them is hashed. Shared passages from windows of 51 words.
 OP5_SQL = r"""
 WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
 h AS MATERIALIZED (SELECT r, doc_id, hex(b) AS x, octet_length(b) AS n FROM t),
@@ -83,10 +83,16 @@ s AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM w WHER
 g AS (SELECT r, p, sum(CASE WHEN before IS NULL OR p > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS run FROM s),
 runs AS (SELECT r, run, min(p) AS a, max(p) + 400 AS z FROM g GROUP BY r, run),
 cuts AS (SELECT r, run, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY run), 0) AS y FROM runs),
-kept AS (SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS tail, string_agg(substr(x, 2 * y + 1, 2 * (a - y)), '' ORDER BY run) AS x FROM cuts JOIN h USING (r) GROUP BY r)
+kept AS (SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS tail, string_agg(substr(x, 2 * y + 1, 2 * (a - y)), '' ORDER BY run) AS x FROM cuts JOIN h USING (r) GROUP BY r),
+v AS MATERIALIZED (SELECT r, list_filter(string_split_regex(decode(b), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM t),
+q AS MATERIALIZED (SELECT r, p, md5_number(array_to_string(l[p:p + 50], ' ')) AS k FROM (SELECT r, l, unnest(range(1, len(l) - 49)) AS p FROM v WHERE len(l) > 50)),
+both_rows AS (SELECT k FROM q GROUP BY k HAVING min(r) < max(r)),
+u AS (SELECT r, least(51, coalesce(lead(p) OVER (PARTITION BY r ORDER BY p) - p, 51)) AS step FROM q WHERE k IN (SELECT k FROM both_rows)),
+common AS (SELECT r, CAST(sum(step) AS BIGINT) AS n_shared_words FROM u GROUP BY r)
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-  sha256(unhex(CASE WHEN tail IS NULL THEN h.x ELSE kept.x || substr(h.x, 2 * tail + 1) END)) AS kept_sha256
-FROM h LEFT JOIN kept USING (r)
+  sha256(unhex(CASE WHEN tail IS NULL THEN h.x ELSE kept.x || substr(h.x, 2 * tail + 1) END)) AS kept_sha256,
+  coalesce(n_shared_words, 0) AS n_shared_words, n_shared_words IS NOT NULL AS shares_passage
+FROM h LEFT JOIN kept USING (r) LEFT JOIN common USING (r)
 """
 #: All pairs that share a shingle, by a join on shingles, and the closure of the links.
 OP9_SQL = r"""
