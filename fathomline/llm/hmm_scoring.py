@@ -6,8 +6,10 @@ smoothed share of the class's training tokens, so a text's probability is that o
 of its words given their classes. Word counts are taken over all training texts and stay distributed; only up
 to TOP most frequent words, a number that does not grow with the corpus, go to every worker, and all
 other words meet their counts in a join. Expected counts of Baum-Welch are summed over partitions by a
-group-by; training texts are cut into blocks of BLOCK tokens for it, each taken as a sequence. Scores come
-from the scaled forward recursion over whole texts.
+group-by. Training texts go through it in blocks of BLOCK tokens: a text's first block starts from the model's
+start distribution, and only first blocks are counted as starts; the others go on from the chain's stationary
+distribution, and the LEAD tokens before them, whose own counts belong to the block before, bring the state to where
+the text is. No token and no move is counted twice or left out. Scores come from the scaled forward recursion over whole texts.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from fathomline.llm._common import batches, saved, utf8
 OWN, SHARED = 512, 511
 CLASSES = 1 + OWN + SHARED
 TOP = 100_000
-BLOCK = 256
+BLOCK, LEAD = 256, 16
 #: Blocks that Baum-Welch takes side by side, and tokens that it gathers before.
 LANES, GATHERED = 1024, 1 << 22
 
@@ -125,26 +127,39 @@ def initial(share: np.ndarray, s: Settings) -> Model:
     return Model(np.full(s.states, 1 / s.states), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
-def expected(sequences: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def stationary(move: np.ndarray) -> np.ndarray:
+    """The distribution of states that a chain with these moves goes towards."""
+    return np.linalg.matrix_power(move, 1 << 12).mean(0)
+
+
+def blocks_of(sequence: np.ndarray, block: int = BLOCK, lead: int = LEAD) -> list[tuple[np.ndarray, int]]:
+    """(tokens, how many of them come before the block) of a sequence's blocks: 0 for the first only."""
+    return [(sequence[max(0, k - lead) : k + block], min(k, lead)) for k in range(0, len(sequence), block)]
+
+
+def expected(sequences: list[np.ndarray], m: Model, leads: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of starts, moves and emissions, by the scaled forward-backward recursion over non-empty sequences.
 
-    LANES sequences of like length step together, with arrays small enough for the processor's caches.
+    A sequence's lead is its tokens that are not counted, nor the moves between them; with a lead it starts from the stationary
+    distribution. LANES sequences of like length step together, with arrays small enough for the processor's caches.
     """
     start, move, emit = np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit)
-    first, a, e = (x.astype(np.float32) for x in (m.start, m.move, m.emit))
+    first, later, a, e = (x.astype(np.float32) for x in (m.start, stationary(m.move), m.move, m.emit))
+    leads = leads or [0] * len(sequences)
     back, k = np.ascontiguousarray(a.T), len(m.start)
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
     for at in range(0, len(order), LANES):
         part = [sequences[i] for i in order[at : at + LANES]]
+        lead = np.array([leads[i] for i in order[at : at + LANES]])
         sizes = np.array([len(x) for x in part])
-        steps, lanes = int(sizes[0]), len(part)
+        steps, lanes, longest = int(sizes[0]), len(part), int(lead.max())
         padded = np.zeros((lanes, steps), np.uint16)
         for row, seq in zip(padded, part):
             row[: len(seq)] = seq
         grid = np.ascontiguousarray(padded.T).astype(np.int64)
         live = np.searchsorted(-sizes, -np.arange(steps), side="left")
         alpha, scale = np.zeros((steps, k, lanes), np.float32), np.empty((steps, lanes), np.float32)
-        x = np.repeat(first[:, None], lanes, axis=1)
+        x = np.where(lead > 0, later[:, None], first[:, None])
         for t in range(steps):
             n = live[t]
             x = (back @ x[:, :n] if t else x) * e.take(grid[t, :n], axis=1)
@@ -158,8 +173,11 @@ def expected(sequences: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndar
                 w = e.take(grid[t, :n], axis=1)
                 w *= beta[:, :n]
                 w /= scale[t, :n]
-                move += m.move * (alpha[t - 1, :, :n] @ w.T)
+                before = alpha[t - 1, :, :n]
+                move += m.move * ((before if t >= longest else before * (lead[:n] <= t)) @ w.T)
             alpha[t, :, :n] *= beta[:, :n]
+            if t < longest:
+                alpha[t, :, :n] *= lead[:n] <= t
             if t:
                 beta[:, :n] = a @ w
         start += alpha[0].sum(1)
@@ -198,14 +216,14 @@ def _expected(shared):
 
         def add() -> None:
             nonlocal sums, pending, held
-            got = expected(pending, m)
+            got = expected([x for x, _ in pending], m, [n for _, n in pending])
             sums = got if sums is None else tuple(a + b for a, b in zip(sums, got))
             pending, held = [], 0
 
         for batch in it:
             for raw in batch.column(0):
                 seq = np.frombuffer(raw.as_py(), np.uint16)
-                pending += [seq[k : k + BLOCK] for k in range(0, len(seq), BLOCK)]
+                pending += blocks_of(seq)
                 held += len(seq)
                 if held >= GATHERED:
                     add()

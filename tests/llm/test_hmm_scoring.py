@@ -42,6 +42,20 @@ def test_forward_and_expected_match_all_paths():
         assert np.allclose(a, b, rtol=1e-4, atol=1e-5)
 
 
+def test_blocks_count_each_token_move_and_start_once():
+    m, rng = small(5), random.Random(6)
+    seqs = [np.array(rng.choices(range(4), k=k), np.uint16) for k in (1, 7, 8, 9, 100, 23)]
+    blocks = [b for s in seqs for b in hs.blocks_of(s, 8, 3)]
+    start, move, emit = hs.expected([b for b, _ in blocks], m, [n for _, n in blocks])
+    assert np.allclose(emit.sum(0), np.bincount(np.concatenate(seqs), minlength=4), rtol=1e-4)
+    assert math.isclose(start.sum(), len(seqs), rel_tol=1e-4) and math.isclose(move.sum(), sum(len(s) - 1 for s in seqs), rel_tol=1e-4)
+    # With a long lead the counts come near to those of whole texts.
+    whole = hs.expected(seqs, m)
+    parts = [b for s in seqs for b in hs.blocks_of(s, 64, 16)]
+    near = hs.expected([b for b, _ in parts], m, [n for _, n in parts])
+    assert all(np.allclose(a, b, rtol=0.05, atol=0.3) for a, b in zip(whole, near))
+
+
 def test_class_probabilities_sum_to_one():
     m = small(2)
     every = [np.array(x, np.uint16) for x in itertools.product(range(4), repeat=3)]
