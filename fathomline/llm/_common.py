@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Separators of the contracts' words `[^\x20\x09-\x0D]+`; bytes.split() without arguments splits at the same six bytes.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -91,6 +92,13 @@ def utf8(column: pa.Array) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
+def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *added: StructField) -> DataFrame:
+    """df.mapInArrow() of a function that appends columns, also where own columns have names that Spark would take apart at a dot."""
+    plain = [c if c.replace("_", "").isalnum() else unused(df.columns, f"own_{i}_")[0] for i, c in enumerate(df.columns)]
+    schema = StructType([*(StructField(n, f.dataType) for n, f in zip(plain, df.schema.fields)), *added])
+    return df.toDF(*plain).mapInArrow(function, schema).toDF(*df.columns, *(f.name for f in added))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64, over uint64."""
     x = x ^ (x >> np.uint64(30))

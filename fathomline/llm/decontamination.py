@@ -3,16 +3,18 @@
 Text is taken as words of letters and digits in lower case. Item lengths fall into size classes; a class's
 size is STRIDE - 1 words less than its shortest item. Windows of that many words of every document, at every
 STRIDE-th word, get a 64-bit SimHash of their word pairs, and so do the first STRIDE parts of each item
-of that many words: one of them is where such a window is, wherever the item stands. The 64 bits are cut into three blocks: fingerprints within RADIUS agree within RADIUS // 3 bits in
-some block, so a table for each block of all values within that many bits of an item's block finds all of
-them. An edited passage can be further off than that and still be alike, so prints of single shingles at several
+of that many words: one of them is where such a window is, wherever the item stands. The 64 bits are cut into three
+blocks: fingerprints within RADIUS agree within RADIUS // 3 bits in some block, so an index for each block, which lists under
+each value the items' prints whose block is within that many bits of it, finds all of them. A window is
+compared with the prints listed under its three values, and with no others. An edited passage can be further off than that and still be alike, so prints of single shingles at several
 places of each item stand beside them: a window that is at least `similarity` like an item lacks at most
 m - ceil(similarity * m) of the item's m shingles, so it has one of any set of one more, and those are looked up
 at every word. Both give places only. They are verified by the exact weighted Jaccard similarity of word shingles,
 weighted by how often they occur, between the item and every window of the item's own length over the place;
 at a document's ends windows are cut off.
 
-The benchmark is a stated query set: it goes to the workers in blocks of bounded size, one pass each.
+The benchmark is a stated query set: it goes to the workers in blocks of bounded size, one pass over the rows
+each, of which a task has one at a time.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from fathomline.llm._common import batches, mix64, utf8
+from fathomline.llm._common import batches, mapped, mix64, saved, unused, utf8
 
 RADIUS = 11
 #: Bit ranges of the three blocks.
@@ -131,7 +134,7 @@ def even_fingerprints(sums: _Sums, size: int, count: int) -> np.ndarray:
 
 @dataclass
 class _Class:
-    """Items of one window size: fingerprints of their parts with the item's number and the part's first word, and a table for each block."""
+    """Items of one window size: fingerprints of their parts with the item's number and the part's first word, and an index for each block."""
 
     size: int
     stride: int
@@ -139,16 +142,16 @@ class _Class:
     item: np.ndarray
     first: np.ndarray
 
-    def tables(self) -> list[np.ndarray]:
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each block (first, prints): under a value v the numbers of the prints stand at first[v] to first[v + 1]."""
         out = []
         for lo, hi in BLOCKS:
-            table = np.zeros(1 << (hi - lo), bool)
-            values = np.unique((self.prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1))
-            for errors in range(RADIUS // len(BLOCKS) + 1):
-                masks = np.array([sum(1 << b for b in c) for c in itertools.combinations(range(hi - lo), errors)], np.uint64)
-                for v in values:
-                    table[v ^ masks] = True
-            out.append(table)
+            masks = np.array([sum(1 << b for b in c) for errors in range(RADIUS // len(BLOCKS) + 1) for c in itertools.combinations(range(hi - lo), errors)], np.uint32)
+            values = ((self.prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.uint32)
+            every = (values[:, None] ^ masks[None, :]).ravel()
+            first = np.zeros((1 << (hi - lo)) + 1, np.int32)
+            np.cumsum(np.bincount(every, minlength=1 << (hi - lo)), out=first[1:])
+            out.append((first, (np.argsort(every, kind="stable") // len(masks)).astype(np.int32)))
         return out
 
 
@@ -245,7 +248,21 @@ def prepared(rows: list[tuple], width: int, least: float) -> Items:
     return Items([k for k, _ in told], [len(w) for _, w in told], [shingles(w, width) for _, w in told], codes, classes, anchors, width, least)
 
 
-def _found(h: np.ndarray, ends: np.ndarray, classes: list[tuple[_Class, list[np.ndarray]]]) -> set[tuple[int, int, int]]:
+def candidates(prints: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(place among prints, number of an item's print) of all pairs that share a block's value but for RADIUS // 3 bits; a pair may come several times."""
+    where, which = [], []
+    for (first, listed), (lo, hi) in zip(tables, BLOCKS):
+        value = ((prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)
+        begin = first[value]
+        n = first[value + 1] - begin
+        hit = np.flatnonzero(n)
+        n = n[hit]
+        where.append(np.repeat(hit, n))
+        which.append(listed[np.repeat(begin[hit] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())])
+    return np.concatenate(where), np.concatenate(which)
+
+
+def _found(h: np.ndarray, ends: np.ndarray, classes: list[tuple[_Class, list[tuple[np.ndarray, np.ndarray]]]]) -> set[tuple[int, int, int]]:
     """(item's number, where it would begin, where the window begins) of windows within RADIUS of an item's part; ends: where each word's document ends."""
     found: set[tuple[int, int, int]] = set()
     for at in range(0, len(h), PIECE):
@@ -263,15 +280,10 @@ def _found(h: np.ndarray, ends: np.ndarray, classes: list[tuple[_Class, list[np.
             rest &= 5 * (stops - here) >= 4 * c.size
             starts = np.r_[starts, here[rest]]
             p = np.r_[p, fingerprints(sums, here[rest] - at, stops[rest] - at)]
-            near = np.zeros(len(p), bool)
-            for table, (lo, hi) in zip(tables, BLOCKS):
-                near |= table[(p >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)]
-            hit = np.flatnonzero(near)
-            for k in range(0, len(hit), 4096):
-                part = hit[k : k + 4096]
-                distance = np.bitwise_count(p[part][:, None] ^ c.prints[None, :])
-                for x, y in zip(*np.nonzero(distance <= RADIUS)):
-                    found.add((int(c.item[y]), int(starts[part[x]] - c.first[y]), int(starts[part[x]])))
+            x, y = candidates(p, tables)
+            near = np.bitwise_count(p[x] ^ c.prints[y]) <= RADIUS
+            x, y = starts[x[near]], y[near]
+            found.update(zip(c.item[y].tolist(), (x - c.first[y]).tolist(), x.tolist()))
     return found
 
 
@@ -320,11 +332,12 @@ def _most_alike(codes: np.ndarray, want: dict[int, int], total: int, starts: lis
     return best
 
 
+_FOUND = ArrayType(StructType([StructField("item_id", LongType()), StructField("similarity", DoubleType()), StructField("start", LongType()), StructField("stop", LongType())]))
 _HIT = pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
-def _searched(shared, least: float):
-    """Adds to the last column of a batch, hits, those with the items of one block of the benchmark."""
+def _searched(shared, least: float, name: str | None = None):
+    """Appends to a batch the hits with the items of one block of the benchmark."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         items: Items = shared.value
@@ -359,10 +372,10 @@ def _searched(shared, least: float):
                     s = weighted_jaccard(items.shingles[item], shingles(words[lo:hi], items.width))
                     if s >= least:
                         best[top + doc, item] = (s, lo, hi)
-        hits = batch.column(batch.num_columns - 1).to_pylist()
+        hits: list[list[dict]] = [[] for _ in range(batch.num_rows)]
         for (doc, item), (s, lo, hi) in sorted(best.items()):
             hits[doc].append({"item_id": items.ids[item], "similarity": s, "start": lo, "stop": hi})
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, pa.list_(_HIT))], names=batch.schema.names)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.list_(_HIT))], names=[*batch.schema.names, "hits" if name is None else name])
 
     return batches(run)
 
@@ -378,27 +391,41 @@ def _tables(items: Items) -> list[list[np.ndarray]]:
     return _cached[id(items)][1]
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs (any columns with text) with hits appended: for each item that a window of its length is at least `similarity` like, (item_id, similarity, start, stop) with the words [start, stop) that are most like it.
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, similarity: float = 0.8, hits_col: str = "hits") -> DataFrame:
+    """docs (any columns with text) with hits_col appended: for each item that a window of its length is at least `similarity` like, (item_id, similarity, start, stop) with the words [start, stop) that are most like it.
 
-    Items without words and null texts match nothing; items of one text are found each. An own column hits is
-    replaced. There is no shuffle: each block of the benchmark is one pass over the rows.
+    Items without words and null texts match nothing; items of one text are found each. An own column of that name is
+    replaced. There is no shuffle: each block of the benchmark is one pass over the rows. Passes before the last
+    write the rows to the shared folder, so that a task never has the indexes of two blocks.
     """
-    hits = "array<struct<item_id:bigint,similarity:double,start:bigint,stop:bigint>>"
-    out = docs.drop("hits").withColumn("hits", F.expr(f"cast(array() as {hits})"))
+    out = docs.drop(hits_col)
+    names = out.columns
     block: list[tuple] = []
-    chars = 0
+    chars, passes = 0, 0
 
     def searched(rows: DataFrame) -> DataFrame:
+        nonlocal passes
         items = prepared(block, shingle_words, similarity)
-        return rows.mapInArrow(_searched(docs.sparkSession.sparkContext.broadcast(items), similarity), rows.schema) if items.classes else rows
+        if not items.classes:
+            return rows
+        passes += 1
+        rows = saved(rows, "decontamination-pass") if passes > 1 else rows
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        # The hits so far are the last column; each pass appends its own to them.
+        before, found = unused([*names, hits_col], "before", "found")
+        rows = rows.withColumnRenamed(hits_col, before) if passes > 1 else rows
+        rows = mapped(rows, _searched(shared, similarity, found), StructField(found, _FOUND))
+        if passes > 1:
+            rows = rows.withColumn(hits_col, F.concat(before, found)).drop(before, found)
+        return rows.withColumnRenamed(found, hits_col)
 
     for r in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         block.append((r.item_id, r.text))
         chars += len(r.text or "")
         if len(block) >= ITEMS or chars >= ITEM_CHARS:
             out, block, chars = searched(out), [], 0
-    return searched(out) if block else out
+    out = searched(out) if block else out
+    return out if passes else out.withColumn(hits_col, F.array().cast(_FOUND))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -408,9 +435,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5,
     and a document without words are clean; an empty benchmark leaves all clean; repeated rows and null ids
     are judged each by their own text. An item whose id is null counts and has no entry in item_ids.
     """
-    out = benchmark_hits(docs.drop("contaminated", "kept", "n_items", "item_ids", "best_similarity"), benchmark, shingle_words, similarity)
+    docs = docs.drop("contaminated", "kept", "n_items", "item_ids", "best_similarity", "hits")
+    out = benchmark_hits(docs, benchmark, shingle_words, similarity)
     return out.select(
-        *(c for c in out.columns if c != "hits"),
+        *(F.col(f"`{c}`") for c in docs.columns),
         (F.size("hits") > 0).alias("contaminated"), (F.size("hits") == 0).alias("kept"), F.size("hits").cast("long").alias("n_items"),
         F.sort_array(F.array_distinct(F.filter(F.col("hits.item_id"), lambda x: x.isNotNull()))).alias("item_ids"), F.coalesce(F.array_max("hits.similarity"), F.lit(0.0)).alias("best_similarity"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, columns as they are, that decontaminate() keeps."""
+    (hits,) = unused(docs.columns, "hits")
+    return benchmark_hits(docs, benchmark, shingle_words, similarity, hits).where(F.size(hits) == 0).drop(hits)

@@ -2,7 +2,8 @@
 
 The standard library's streaming parser cuts a page into lines, one a block element. Lines inside elements
 that never hold an article's text (menus, page headers and footers, forms, adverts, readers' comments and so
-on, by tag, role, class or id) are boilerplate. Each other line's ratio of text characters to tags is smoothed
+on, by tag, role, or a whole word of class or id) are boilerplate; a name alone never makes an article or main
+element boilerplate, nor a page's only text. Each other line's ratio of text characters to tags is smoothed
 along the page, and lines whose smoothed ratio reaches the threshold form the content clusters. A cluster
 inside an article or main element stands for that element, whose short lines then belong to the text too.
 """
@@ -10,6 +11,7 @@ inside an article or main element stands for that element, whose short lines the
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
@@ -23,49 +25,74 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr del".split())
 BOILERPLATE = frozenset("head nav header footer aside form menu button select textarea noscript template iframe object svg canvas dialog script style title".split())
 CONTENT = frozenset(["article", "main"])
+#: Elements that a name does not make boilerplate.
+UNNAMED = CONTENT | {"body", "html"}
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form toolbar".split())
 #: Start tags that end an open p; for li, dd and dt those that end it, and elements beyond which no open one is looked for.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 ENDS_ITEM = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt")}
 SCOPE = frozenset("applet button caption html marquee object table td template th".split())
 LISTS = SCOPE | {"ul", "ol", "dl", "menu", "dir"}
-#: Words of class and id; after no-, with-, without- and has- they tell of a page's layout, not of the element.
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|notice|popup|modal|overlay|newsletter|subscribe|signup|login"
-    r"|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|header|footer|masthead|toolbar|share|sharing|social|related|recommended|comments?|disqus|respond|reply|replies|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Names of boilerplate. A word of class or id is one if it is a name, ends with one after a qualifier (site-footer), or has one and then the shape of its box (comment-list).
+NAMES = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice popup modal overlay newsletter subscribe signup login nav navbar navigation menu"
+    " breadcrumb breadcrumbs sidebar side header footer masthead toolbar share sharing social related recommended comment comments disqus respond reply replies widget".split()
 )
+SHAPES = frozenset("list area box wrap wrapper container section block left right top bottom inner item items links bar thread slot unit panel".split())
+#: Qualifiers that tell of a page's layout, not of the element.
+LAYOUT = frozenset("no not has with without open closed enable enabled disable disabled hide show".split())
+
+
+def named_boilerplate(value: str) -> bool:
+    """Whether a class or id attribute has a word that names boilerplate."""
+    for word in value.lower().split():
+        parts = [p for p in re.split(r"[_-]+", word) if p]
+        while len(parts) > 1 and (parts[-1] in SHAPES or parts[-1].isdigit()):
+            parts.pop()
+        if parts and parts[-1] in NAMES and not LAYOUT.intersection(parts):
+            return True
+    return False
+
+
 SIGMA, RADIUS = 1.0, 2
 #: Lines whose smoothed ratio is at least this share of the mean smoothed ratio are content.
 SHARE = 0.5
 
 
 class _Lines(HTMLParser):
-    """lines: [text parts, tags, content element's number or 0], in page order, without boilerplate."""
+    """lines: [text parts, tags, content element's number or 0, whether boilerplate by name], in page order, without other boilerplate."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[list] = [[[], 0, 0]]
-        self.open: list[tuple[str, bool, int]] = []  # tag, boilerplate, content element
+        self.lines: list[list] = [[[], 0, 0, False]]
+        self.open: list[tuple[str, int, int]] = []  # tag, boilerplate (1 by name, 2 otherwise), content element
+        self.at: dict[str, list[int]] = defaultdict(list)  # where in open the elements of a tag are
         self.elements = 0
 
-    def _state(self) -> tuple[bool, int]:
-        return self.open[-1][1:] if self.open else (False, 0)
+    def _state(self) -> tuple[int, int]:
+        return self.open[-1][1:] if self.open else (0, 0)
+
+    def _told(self) -> None:
+        skip, element = self._state()
+        self.lines[-1][2:] = [element, skip == 1]
 
     def _break(self) -> None:
         if self.lines[-1][0]:
-            self.lines.append([[], 0, 0])
-        self.lines[-1][2] = self._state()[1]
+            self.lines.append([[], 0, 0, False])
+        self._told()
+
+    def _cut(self, k: int) -> None:
+        """Ends the k-th open element and all in it. Each element is ended once, so a page's work is in proportion to its tags."""
+        for tag, _, _ in self.open[k:]:
+            self.at[tag].pop()
+        del self.open[k:]
 
     def _imply_end(self, tags: tuple[str, ...], scope: frozenset[str]) -> None:
         """Ends the innermost open element of these tags inside the scope; what is implied is no tag of the page."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in tags:
-                self._break()
-                del self.open[k:]
-                break
-            if self.open[k][0] in scope:
-                break
+        k = max((self.at[t][-1] for t in tags if self.at[t]), default=-1)
+        if k >= 0 and k > max((self.at[t][-1] for t in scope if self.at[t]), default=-1):
+            self._break()
+            self._cut(k)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ENDS_ITEM:
@@ -76,17 +103,20 @@ class _Lines(HTMLParser):
         if tag not in INLINE:
             self._break()
         if tag not in VOID:
-            if not skip:
+            if skip < 2:
                 own = dict(attrs)
-                skip = tag in BOILERPLATE or "hidden" in own or (own.get("role") or "").lower() in ROLES
-                skip = skip or tag not in ("body", "html") and any(own.get(k) and NAMES.search(own[k]) for k in ("class", "id"))
+                if tag in BOILERPLATE or "hidden" in own or (own.get("role") or "").lower() in ROLES:
+                    skip = 2
+                elif tag not in UNNAMED and any(own.get(k) and named_boilerplate(own[k]) for k in ("class", "id")):
+                    skip = 1
                 if tag in CONTENT and not skip:
                     self.elements += 1
                     element = self.elements
+            self.at[tag].append(len(self.open))
             self.open.append((tag, skip, element))
             if tag not in INLINE:
-                self.lines[-1][2] = element
-        if not skip:
+                self._told()
+        if skip < 2:
             self.lines[-1][1] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -97,16 +127,20 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self._break()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                if not self.open[k][1]:
-                    self.lines[-1][1] += 1
-                del self.open[k:]
-                break
-        self.lines[-1][2] = self._state()[1] if tag not in INLINE else self.lines[-1][2]
+        if self.at[tag]:
+            k = self.at[tag][-1]
+            if self.open[k][1] < 2:
+                self.lines[-1][1] += 1
+            self._cut(k)
+        if tag not in INLINE:
+            self._told()
 
     def handle_data(self, data: str) -> None:
-        if not self._state()[0] and data:
+        skip = self._state()[0]
+        if skip < 2 and data:
+            if (skip == 1) != self.lines[-1][3] and self.lines[-1][0]:
+                self._break()  # an inline element by whose name its text is boilerplate
+            self._told()
             self.lines[-1][0].append(data)
 
 
@@ -127,10 +161,12 @@ def extract(html: str) -> str:
     parser = _Lines()
     parser.feed(re.sub(r"<(?:[A-Za-z/!][^<>]*)?$", "", html))
     parser.close()
-    lines = [(" ".join("".join(parts).split()), tags, element) for parts, tags, element in parser.lines]
+    lines = [(" ".join("".join(parts).split()), tags, element, named) for parts, tags, element, named in parser.lines]
     lines = [x for x in lines if x[0]]
     if not lines:
         return ""
+    # Names may mislead: where they leave no text at all, they count for nothing.
+    lines = [x[:3] for x in lines if not x[3]] or [x[:3] for x in lines]
     ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in lines], float))
     content = ratio >= min(ratio.max(), SHARE * ratio.mean())
     elements = {element for (_, _, element), ok in zip(lines, content) if ok and element}

@@ -18,9 +18,9 @@ import pyarrow as pa
 import regex as re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField
 
-from fathomline.llm._common import saved, utf8
+from fathomline.llm._common import mapped, saved, utf8
 
 BLOCK = 1024
 #: Blocks that step together.
@@ -219,7 +219,6 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(it):
         tables = shared.value.tables() if shared.value.languages else None
@@ -238,4 +237,4 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
                     score[i] = 1.0 - float(row[order[0]]) / max(1.0, float(row[order[1]])) if len(order) > 1 else 1.0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, StructField("lang_pred", StringType()), StructField("score", DoubleType()))

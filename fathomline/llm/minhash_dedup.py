@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm._common import batches, mix64, saved, utf8
+from fathomline.llm._common import batches, dropped, mix64, saved, unused, utf8
 from fathomline.llm.components import components
 
 CHUNKS, WIDTH = 10, 4
@@ -85,7 +85,7 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _described(size: int):
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sig", pa.binary())])
+    names, kinds = ["rid", "doc_id", "text_hash", "n_shingles", "d1", "d2", "sig"], (pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -93,7 +93,7 @@ def _described(size: int):
             s = shingle_set(text, size)
             d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
             rows.append((len(s), int(d[0]), int(d[1]), signature(s).tobytes() if len(s) else None))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *(pa.array(c, t) for c, t in zip(zip(*rows), schema.types[3:]))], schema=schema)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=names)
 
     return batches(run)
 
@@ -214,9 +214,9 @@ def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80) ->
 
     Rows that repeat that row's id and text stay with it, as do rows without an id whose component has no id at all.
     """
-    kept = near_duplicates(docs, shingle_words, percent, hashed=True).where("kept").select(F.col("doc_id").alias("kept_id"), "text_hash").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.xxhash64("text").eqNullSafe(F.col("text_hash"))
-    return docs.join(kept, same, "left_semi")
+    kept_id, kept_hash = unused(docs.columns, "kept_id", "kept_hash")
+    kept = near_duplicates(docs, shingle_words, percent, hashed=True).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.xxhash64("text") == F.col(kept_hash)), "left_semi")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
@@ -225,18 +225,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     Two rows are linked if 100 * |A and B| >= percent * |A or B| for their sets of word shingles. A null,
     empty or blank text has an empty set and no link. Repeated rows with one id form one component if
     their texts are linked; a row whose whole component has null ids has a null component_id. kept is
-    doc_id <=> component_id. An empty table gives an empty result; other columns are not looked at. hashed
-    appends text_hash, the xxhash64 of the row's text.
+    doc_id <=> component_id. Ids may have any type that has an order. An empty table gives an empty result; other
+    columns are not looked at. hashed appends text_hash, the xxhash64 of the row's text.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
     facts = saved(
         docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-            _described(shingle_words), "rid long, doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sig binary"
+            _described(shingle_words), f"rid long, doc_id {id_type}, text_hash long, n_shingles long, d1 long, d2 long, sig binary"
         ),
         "minhash-facts",
     )
     sets = saved(facts.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("rid").alias("uid"), F.min("doc_id").alias("least")), "minhash-sets")
-    unique = saved(facts.join(sets.select(F.col("uid").alias("rid")), "rid").select(F.col("rid").alias("uid"), "doc_id", "n_shingles", "d1", "d2", "sig"), "minhash-unique")
+    unique = saved(facts.join(sets.select(F.col("uid").alias("rid")), "rid").select(F.col("rid").alias("uid"), "doc_id", "text_hash", "n_shingles", "d1", "d2", "sig"), "minhash-unique")
     # Buckets of two or more unlike sets.
     rows = unique.select("uid", "sig").mapInArrow(_keyed, "key long, uid long")
     leads = saved(rows.groupBy("key").agg(F.min("uid").alias("lead"), F.count("*").alias("members")).where("members > 1"), "minhash-leads")
@@ -245,11 +246,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     homes = buckets.groupBy("uid").agg(F.min("lead").alias("home"))
     nearer = buckets.join(homes, "uid").groupBy("key").agg(F.min("home").alias("home"))
     homes = saved(buckets.select("key", "uid").join(nearer, "key").groupBy("uid").agg(F.min("home").alias("home")), "minhash-homes")
-    wanted = unique.join(homes, "uid").select("uid", "doc_id", "d1", "d2")
-    full = saved(
-        docs.join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("uid", "text", "d1", "d2").mapInArrow(_sets(shingle_words), "uid long, n long, shingles array<long>").dropDuplicates(["uid"]),
-        "minhash-full",
-    )
+    wanted = unique.join(homes, "uid").select("uid", F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash"), "d1", "d2")
+    # By id and text: rows that share an id, or have none, do not all meet.
+    meant = F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.xxhash64("text") == F.col("wanted_hash"))
+    full = saved(docs.join(wanted, meant).select("uid", "text", "d1", "d2").mapInArrow(_sets(shingle_words), "uid long, n long, shingles array<long>").dropDuplicates(["uid"]), "minhash-full")
     a, b = (full.select(F.col("uid").alias(x), F.col("shingles").alias(f"{x}_set"), F.col("n").alias(f"{x}_n")) for x in "ab")
     sizes = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
     star = buckets.where("uid <> lead").select(F.col("lead").alias("a"), F.col("uid").alias("b")).distinct()
@@ -260,8 +260,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     # The exact pass over buckets whose members still have unlike labels.
     told = homes.join(label.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "home", F.coalesce("component", "uid").alias("label"))
     told = told.join(unique.select("uid", F.col("n_shingles").alias("n"), "sig"), "uid")
+    # Tables of their own, so that AQE may split a home with many members in the joins.
+    told = saved(told, "minhash-homed")
     parts = told.groupBy("home").agg(_blocks(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
-    told = saved(told.join(parts, "home").withColumn("sub", F.pmod(F.xxhash64("uid"), "parts")).drop("parts"), "minhash-told")
+    told = saved(told.join(saved(parts, "minhash-parts"), "home").withColumn("sub", F.pmod(F.xxhash64("uid"), "parts")).drop("parts"), "minhash-told")
     labelled = buckets.select("key", "uid", "members").join(told.select("uid", "label"), "uid")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
     blocks = saved(
@@ -282,6 +284,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     classed = sets.join(found, "uid", "left").select("d1", "d2", "least", F.coalesce("component", "uid").alias("component"))
     least = classed.groupBy("component").agg(F.min("least").alias("component_id"))
     answer = saved(classed.join(least, "component").select("d1", "d2", "component_id"), "minhash-answer")
+    dropped(sets, unique, leads, buckets, homes, full, told, blocks, near)
     return facts.join(answer, ["d1", "d2"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *(["text_hash"] if hashed else [])
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm._common import saved
+from fathomline.llm._common import dropped, saved, unused
 from fathomline.llm.quality_rules import words_of
 
 SECTIONS, PASSES = 16, 8
@@ -124,16 +124,19 @@ def mixed(docs: DataFrame, target: Target = Target(), seed: int = 7, source_col:
     paid = F.sum("tokens").over(Window.partitionBy("key").orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cut = cut.withColumn("paid", paid).where("paid <= left").groupBy("key").agg(F.max("o").alias("cut"))
     plan = saved(
-        blocks.join(cut, "key", "left").join(told.select("key", "blocks"), "key").select(F.col("key").alias("mix_key"), F.col("block").alias("mix_block"), "blocks", "whole", "state", "cut"),
+        blocks.join(cut, "key", "left").select("key", "block", "whole", "state", "cut"),
         "mixing-plan",
     )
+    dropped(rows, sources, blocks)
     # At most MAX_BLOCKS rows more than sources: the join is a broadcast while the number of sources allows it.
-    named = docs.withColumns({"mix_row_key": key, "mix_row_hash": order}).join(told.select(F.col("key").alias("mix_source"), F.col("blocks").alias("mix_blocks")), F.col("mix_row_key") == F.col("mix_source"))
-    named = named.withColumn("block", F.pmod("mix_row_hash", F.col("mix_blocks")).cast("int"))
-    joined = named.join(plan, (F.col("mix_row_key") == F.col("mix_key")) & (F.col("block") == F.col("mix_block")))
-    inside = F.xxhash64("mix_row_hash", F.lit(seed + 2))
-    copies = F.col("whole") + F.when((F.col("state") == 2) | (F.col("state") == 1) & (inside <= F.col("cut")), 1).otherwise(0)
-    out = joined.withColumn("mix_copies", copies).where("mix_copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("mix_copies").cast("int") - 1)))
+    row_key, row_hash, source, blocks, of, at, told_plan, copies = unused([*docs.columns, "epoch", "block"], "row_key", "row_hash", "source_key", "blocks", "plan_key", "plan_block", "plan", "copies")
+    named = docs.withColumns({row_key: key, row_hash: order}).join(told.select(F.col("key").alias(source), F.col("blocks").alias(blocks)), F.col(row_key) == F.col(source))
+    named = named.withColumn("block", F.pmod(row_hash, F.col(blocks)).cast("int"))
+    plan = plan.select(F.col("key").alias(of), F.col("block").alias(at), F.struct("whole", "state", "cut").alias(told_plan))
+    joined = named.join(plan, (F.col(row_key) == F.col(of)) & (F.col("block") == F.col(at)))
+    inside, p = F.xxhash64(row_hash, F.lit(seed + 2)), F.col(told_plan)
+    more = F.when((p["state"] == 2) | (p["state"] == 1) & (inside <= p["cut"]), 1).otherwise(0)
+    out = joined.withColumn(copies, p["whole"] + more).where(F.col(copies) > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col(copies).cast("int") - 1)))
     return out.select(
-        *docs.columns, "epoch", "block", F.xxhash64("mix_row_key", "block", "epoch", F.lit(seed + 1)).alias("block_order"), inside.alias("row_order")
+        *(F.col(f"`{c}`") for c in docs.columns), "epoch", "block", F.xxhash64(row_key, "block", "epoch", F.lit(seed + 1)).alias("block_order"), inside.alias("row_order")
     )

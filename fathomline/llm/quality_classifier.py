@@ -16,9 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField
 
-from fathomline.llm._common import batches, mix64, utf8
+from fathomline.llm._common import batches, mapped, mix64, utf8
 
 #: Bytes: letters are A-Z, a-z and all bytes of characters beyond ASCII.
 _WORD = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|([^\sA-Za-z0-9\x80-\xff])\1*")
@@ -134,11 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, s: Settings = Setting
     return train([t for t, _ in sample], [q for _, q in sample], s)
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = Settings.bits) -> DataFrame:
-    """docs (any columns; an own score is replaced) with score appended: 0 to 1, higher if label 1 is likelier. A null or empty text has the bias's score."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = Settings.bits, score_col: str = "score") -> DataFrame:
+    """docs (any columns; an own one of the name score_col is replaced) with score_col appended: 0 to 1, higher if label 1 is likelier. A null or empty text has the bias's score."""
     weights, bias = docs.sparkSession.sparkContext.broadcast(model[0]), model[1]
-    docs = docs.drop("score")
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    docs = docs.drop(score_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         w, out = weights.value, []
@@ -146,6 +145,6 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = Setting
             i, v = features(text, bits)
             x = float(w[i] @ v) + bias
             out.append(1 / (1 + np.exp(-np.clip(x, -30, 30))))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "score"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, score_col])
 
-    return docs.mapInArrow(batches(run), schema)
+    return mapped(docs, batches(run), StructField(score_col, DoubleType()))

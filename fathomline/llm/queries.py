@@ -13,7 +13,7 @@ from fathomline.llm._common import fraction_hash, table
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = fraction_hash() % 3 == 1
+    held_out = F.coalesce(fraction_hash() % 3 == 1, F.lit(False))
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
     return quality_classifier.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -38,7 +38,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = fraction_hash() % 5 == 0
+    held_out = F.coalesce(fraction_hash() % 5 == 0, F.lit(False))
     model = language_id.fit(docs, ~held_out)
     return language_id.identified(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -63,6 +64,25 @@ def test_nulls_ties_and_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_many_rows_of_one_id_cost_no_more_than_others(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(2500)]
+    texts += [t + " end" for t in texts]
+    spent = []
+    for ids in (range(len(texts)), [None] * len(texts), range(len(texts)), [None] * len(texts)):
+        df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4)
+        began = time.perf_counter()
+        assert near_duplicates(df, 5, 80).where("n_shingles > 0").count() == len(texts)
+        spent.append(time.perf_counter() - began)
+    assert spent[3] < 2 * spent[2] + 1
+
+
+def test_ids_of_text(spark):
+    rows = [("b", "one two three"), ("a", "one two three"), ("c", "other")]
+    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), 2, 80).select("doc_id", "component_id", "kept").collect())
+    assert got == [("a", "a", True), ("b", "a", False), ("c", "c", True)]
+
+
 def test_group_wider_than_a_block(spark):
     rng = random.Random(3)
     base = [f"b{i}" for i in range(40)]

@@ -91,6 +91,14 @@ def test_same_result_again_and_hash(spark):
     assert h == signed(xxhash.xxh64_intdigest((3).to_bytes(8, "little"), seed=42))
 
 
+def test_own_columns_of_any_name(spark):
+    names = ["state", "whole", "cut", "key", "copies", "row_key", "row_hash", "Plan", "a.b"]
+    df = frame(spark, corpus(4)).select("*", *(F.col("doc_id").alias(c) for c in names))
+    out = mx.mixed(df)
+    assert out.columns == ["doc_id", "text", "source", *names, "epoch", "block", "block_order", "row_order"]
+    assert all(r[c] == r.doc_id for r in out.collect() for c in names)
+
+
 def test_edges(spark):
     assert mx.mixed(frame(spark, corpus(n=0))).collect() == []
     only = mx.mixed(frame(spark, [(1, None, "a", "x"), (2, "", None, "x")])).collect()

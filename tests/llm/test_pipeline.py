@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fathomline.llm import decontamination as dc
@@ -30,8 +31,10 @@ def tables(spark, folder):
         add("copy", rows[k][1] + " " + word())
     for k in range(20):
         add("leak", text(30) + " " + items[k % 5][1] + " " + text(30))
+    luhn = lambda d: -sum(x if i % 2 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10
     for k in range(20):
-        add("private", text() + f" 41111111111111{k:02} +1 (974) 555-34{k:02} someone.{k}@mail.example.com")
+        card = f"4111111111111{k:02}"
+        add("private", text() + f" {card}{luhn(card)} +1 (974) 555-34{k:02} someone.{k}@mail.example.com")
     labels = [(i, int(f != "junk"), 0) for i, f in fate.items() if i % 3]
     for name, df in (
         ("documents", spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")),
@@ -42,8 +45,15 @@ def tables(spark, folder):
     return fate, {r[0]: r for r in rows}, items
 
 
+@pytest.fixture(scope="module", autouse=True)
+def key(spark):
+    spark.conf.set("spark.fathomline.pii.key", "of the tests")
+    yield
+    spark.conf.unset("spark.fathomline.pii.key")
+
+
 @pytest.fixture(scope="module")
-def staged(spark, tmp_path_factory):
+def staged(spark, key, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("pipeline"))
     fate, rows, items = tables(spark, folder)
     out, docs = [], spark.read.parquet(f"{folder}/documents.parquet")
@@ -86,8 +96,26 @@ def test_mix_covers_all_rows(staged):
     assert max(map(len, epochs.values())) > 1
 
 
+OWN = ["state", "hits", "text_hash", "kept_id", "score", "kept", "contaminated", "__found", "n_pii", "pii_made", "blocks", "whole", "cut", "row_key", "plan", "uid", "sig", "x", "rid", "a.b"]
+
+
+def test_own_columns_of_any_name_come_through(spark, staged):
+    _, rows, _, out, folder = staged
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    wide = docs.select("*", *(F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in OWN))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        made = stage(spark, wide, folder)
+        path = os.path.join(folder, f"wide-{name}.parquet")
+        made.write.parquet(path)
+        wide = spark.read.parquet(path)
+        found = wide.collect()
+        assert {r.doc_id for r in found} == {r.doc_id for r in out[k][2]}, name
+        assert wide.columns[: len(COLUMNS) + len(OWN)] == [*COLUMNS, *OWN], name
+        assert all(r[c] == f"{c} of {r.doc_id}" for r in found for c in OWN), name
+
+
 def test_run_is_the_stages(spark, staged):
     _, _, _, out, folder = staged
-    key = lambda r: (r.doc_id, r.epoch, r.text)
-    assert sorted(map(key, corpus_pipeline.run(spark, folder).collect())) == sorted(map(key, out[-1][2]))
+    order = lambda r: (r.doc_id, r.epoch, r.text)
+    assert sorted(map(order, corpus_pipeline.run(spark, folder).collect())) == sorted(map(order, out[-1][2]))
     assert dc is not None and corpus_pipeline.ORACLE_SQL is None
