@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm import decontamination, minhash_dedup, mixing, pii, quality_classifier
-from fathomline.llm._common import saved, table
+from fathomline.llm._common import saved, table, unused
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier, trained on the labelled ones among docs, scores 0.5 or more."""
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return quality_classifier.scored(docs, model).where("score >= 0.5").select(*docs.columns)
+    (score,) = unused(docs.columns, "score")
+    return quality_classifier.scored(docs, model, score_col=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,12 +23,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item."""
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), shingle_words=5, similarity=0.8).where("kept").select(*docs.columns)
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"), shingle_words=5, similarity=0.8)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, personal values replaced by pseudonyms; n_chars is that of the new text."""
-    return pii.pseudonymised(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    (count,) = unused(docs.columns, "n_pii")
+    return pii.pseudonymised(docs, pii.session_key(spark), count_col=count).withColumn("n_chars", F.length("text").cast("long")).drop(count)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
