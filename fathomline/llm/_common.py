@@ -40,6 +40,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage and survives lost executors.
 
     The files go when the session's file system is closed, that is, when the driver ends, or earlier by dropped().
+    Once it is written nothing reads the shuffles before it again; Spark deletes them when the driver's garbage is
+    collected, which is asked for here, as it may otherwise take so long that all shuffles of a job are on disk together.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
@@ -48,6 +50,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    spark._jvm.System.gc()
     return out
 
 

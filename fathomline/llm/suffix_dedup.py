@@ -309,9 +309,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, words: int = 50, id_col:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("x"), F.col(text_col).alias("text"))
     facts = saved(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "x", "text").mapInArrow(_faced(length, words), _FACTS), "repeats-facts")
     rows = facts.select("rid", F.explode(F.arrays_zip("h", "s", "at")).alias("r")).select("r.h", "r.s", "rid", "r.at")
-    # First digit. Counts are added up before they are shuffled, and AQE may split a hot digit in the join.
-    shared = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # First digit. Counts are added up before they are shuffled; their table is written, so that AQE may split a hot digit in the join.
+    shared = saved(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeats-shared")
     alive = saved(rows.join(shared, "h"), "repeats-alive")
+    whole_facts, facts = facts, saved(facts.select("rid", "doc_id", "x", "n_bytes", "sha"), "repeats-texts-told")
+    dropped(whole_facts, shared)
     kinds = alive.groupBy("h", "s").agg(F.count("*").alias("n"), (F.min("rid") < F.max("rid")).alias("many"), F.min(F.struct("rid", "at")).alias("least"))
     kinds = saved(kinds.select("h", "s", "n", "many", "least.rid", "least.at"), "repeats-kinds")
     unlike = saved(kinds.groupBy("h").agg(F.count("*").alias("unlike")).where("unlike > 1"), "repeats-unlike")
