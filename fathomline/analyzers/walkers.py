@@ -9,15 +9,17 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Callable
+from fractions import Fraction
 from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from fathomline.analyzers import containers
 from fathomline.functions.dimensions import CHANNEL_RANGE, RATE_RANGE
 
-NAMES = {"format": StringType(), "width": LongType(), "height": LongType(), "codec": StringType(), "subformat": StringType(), "acodec": StringType(), "anch": LongType(), "arate": LongType(), "asbits": LongType(), "error": StringType()}
+NAMES = {"format": StringType(), "width": LongType(), "height": LongType(), "codec": StringType(), "subformat": StringType(), "vcodec": StringType(), "acodec": StringType(), "anch": LongType(), "arate": LongType(), "asbits": LongType(), "error": StringType()}
 # Codecs by format number of WAVE audio.
 WAVE_CODECS = {
     0x0001: "pcm", 0x0002: "adpcm", 0x0003: "pcm", 0x0006: "alaw", 0x0007: "mulaw", 0x0009: "drm", 0x000A: "wma", 0x0010: "adpcm", 0x0011: "adpcm", 0x0012: "adpcm", 0x0013: "adpcm",
@@ -174,13 +176,20 @@ def wav(data: bytes | FileBytes) -> dict:
     raise ValueError("no format chunk")
 
 
+#: Fields of FLAC's stream information after its ten bytes of block and frame sizes: name, bits, and what is added.
+FLAC_FIELDS = (("arate", 20, 0), ("anch", 3, 1), ("asbits", 5, 1))
+
+
 def flac(data: bytes | FileBytes) -> dict:
-    if len(data) < 26:
-        raise ValueError("too short")
-    if data[4] not in (0, 0x80) or not 34 <= int.from_bytes(data[5:8], "big") <= 255:
+    """The stream information, which is the first metadata block and has 34 bytes at least."""
+    kind, size = data[4:5], int.from_bytes(data[5:8], "big")
+    stream = data[18:26]
+    if len(stream) < 8 or kind not in (b"\x00", b"\x80") or not 34 <= size < 256:
         raise ValueError("no stream information")
-    bits = int.from_bytes(data[18:26], "big")
-    return {"format": "flac", "acodec": "flac", "anch": (bits >> 41 & 7) + 1, "asbits": (bits >> 36 & 31) + 1, "arate": bits >> 44}
+    out, bits = {"format": "flac", "acodec": "flac"}, "".join(f"{b:08b}" for b in stream)
+    for name, width, more in FLAC_FIELDS:
+        out[name], bits = int(bits[:width], 2) + more, bits[width:]
+    return out
 
 
 def au(data: bytes | FileBytes) -> dict:
@@ -197,34 +206,45 @@ def au(data: bytes | FileBytes) -> dict:
     return out
 
 
-def extended(exponent: int, mantissa: int) -> int:
-    """The integer nearest to an 80-bit extended float."""
-    power = exponent & 0x7FFF
-    if power in (0, 0x7FFF) or not mantissa >> 63:
+def extended(raw: bytes) -> Fraction:
+    """The value of a normal 80-bit float: a sign bit, 15 bits of exponent with a bias of 16383, and a mantissa whose first bit, the units, is there."""
+    head, mantissa = struct.unpack(">HQ", raw)
+    sign, exponent = -1 if head >= 1 << 15 else 1, head % (1 << 15)
+    if not 0 < exponent < (1 << 15) - 1 or mantissa < 1 << 63:
         raise ValueError("no normal number")
-    shift = 0x3FFF + 63 - power
-    if shift <= 0:
-        raise ValueError("too large")
-    value = (mantissa + (1 << shift - 1)) >> shift
-    return -value if exponent & 0x8000 else value
+    return sign * Fraction(mantissa, 1 << 63) * Fraction(2) ** (exponent - 16383)
+
+
+def rounded(x: Fraction) -> int:
+    """The nearest integer; halves go away from zero."""
+    return int(x + Fraction(1 if x > 0 else -1, 2))
+
+
+def chunks(data: bytes | FileBytes, at: int, order: str = ">"):
+    """(kind, first byte, size) of the chunks of an IFF or RIFF file from at on; chunks have even sizes."""
+    while at + 8 <= len(data):
+        kind, size = _unpack(order + "4sI", data, at)
+        yield kind, at + 8, size
+        at += 8 + size + size % 2
 
 
 def aiff(data: bytes | FileBytes) -> dict:
-    """The common chunk, which comes first; its sample rate is an extended float."""
+    """The common chunk: channels, frames, bits of a sample, and the rate as an extended float."""
     out = {"format": "aiff", "acodec": "pcm"}
-    if len(data) < 38:
-        return out
-    channels, _, bits, exponent, mantissa = _unpack(">HIHHQ", data, 20)
-    if not CHANNEL_RANGE[0] <= channels <= CHANNEL_RANGE[1]:
-        raise BadData(out)
-    out["anch"] = channels
-    rate = extended(exponent, mantissa)
-    if not RATE_RANGE[0] <= rate <= RATE_RANGE[1]:
-        raise BadData(out)
-    out["arate"] = rate
-    if not 1 <= bits <= 32:
-        raise BadData(out)
-    return out | {"asbits": bits}
+    for kind, at, size in chunks(data, 12):
+        common = data[at : at + 18]
+        if kind != b"COMM" or size < 18 or len(common) < 18:
+            continue
+        for name, value, (low, high) in (("anch", lambda: _unpack(">H", common, 0)[0], CHANNEL_RANGE), ("arate", lambda: rounded(extended(common[8:])), RATE_RANGE), ("asbits", lambda: _unpack(">H", common, 6)[0], (1, 32))):
+            try:
+                found = value()
+            except ValueError:
+                raise BadData(out) from None
+            if not low <= found <= high:
+                raise BadData(out)
+            out[name] = found
+        break
+    return out
 
 
 def tiff(data: bytes | FileBytes) -> dict:
@@ -278,7 +298,7 @@ def pnm(data: bytes | FileBytes) -> dict:
     return {"format": "pnm", "subformat": subformat, "codec": codec, "width": numbers[0], "height": numbers[1]}
 
 
-WALKERS: dict[str, Callable[[bytes | FileBytes], dict]] = {"png": png, "gif": gif, "jpeg": jpeg, "bmp": bmp, "wav": wav, "flac": flac, "au": au, "aiff": aiff, "tiff": tiff, "pnm": pnm}
+WALKERS: dict[str, Callable[[bytes | FileBytes], dict]] = {"png": png, "gif": gif, "jpeg": jpeg, "bmp": bmp, "wav": wav, "flac": flac, "au": au, "aiff": aiff, "tiff": tiff, "pnm": pnm} | containers.WALKERS
 
 
 def walked(files: DataFrame, content: str = "content", name: str | None = None, limit: int = 0) -> DataFrame:
@@ -304,11 +324,12 @@ def walked(files: DataFrame, content: str = "content", name: str | None = None,
                                 out |= walker(FileBytes(f))
                         else:
                             out |= walker(data)
+                        out |= containers.rolled(out.pop("tracks", []))
                     except OSError:
                         out["error"] = "bad_open"
                     except BadData as e:
                         out |= e.known | {"error": "bad_data"}
-                    except (ValueError, struct.error, IndexError):
+                    except (ValueError, struct.error, IndexError, RecursionError):
                         out["error"] = "bad_data"
                 rows.append(out)
             added = [pa.array([r.get(n) for r in rows], pa.int64() if isinstance(t, LongType) else pa.string()) for n, t in NAMES.items()]

@@ -1,7 +1,7 @@
 """Format signatures: what leading bytes a format has, and how sure a match makes us.
 
 A signature is a chain of conditions on the header, `@offset 'bytes'` or `@offset in{'bytes','bytes'}` with
-alternatives of one length. All must hold. A fixed condition of n bytes adds 100 n to the confidence; one
+alternatives of one length; `@offset in[x-y]` is a range of bytes. All must hold. A fixed condition of n bytes adds 100 n to the confidence; one
 with alternatives adds 12.5 times the binary logarithm of their number, rounded down, less than that; either
 loses 10 for each byte (10 at most) between it and the condition before it. A guarded signature also asks
 for values of single bytes.
@@ -14,6 +14,8 @@ import re
 from dataclasses import dataclass
 from functools import cache
 
+from fathomline.formats.further import FURTHER, RULED
+
 #: Bytes of a file that signatures look at.
 HEADER_BYTES = 512
 #: Files of fewer than four bytes are named by their length.
@@ -231,13 +233,20 @@ class Signature:
 
 
 _TEXT = r"'((?:[^'\\]|\\.)*)'"
-_CONDITION = re.compile(rf" @(\d+) (?:{_TEXT}|in\{{({_TEXT}(?:,{_TEXT})*)\}})")
+_BYTE = r"(?:\\x[0-9a-f]{2}|[^\\])"
+_CONDITION = re.compile(rf" @(\d+) (?:{_TEXT}|in\{{({_TEXT}(?:,{_TEXT})*)\}}|in\[({_BYTE}(?:-{_BYTE})?(?:,{_BYTE}(?:-{_BYTE})?)*)\])", re.DOTALL)
 
 
 def _bytes(text: str) -> bytes:
     return re.sub(r"\\x([0-9a-f]{2})|\\(['\\])", lambda m: chr(int(m[1], 16)) if m[1] else m[2], text).encode("latin-1")
 
 
+def _ranges(text: str) -> list[bytes]:
+    """The single bytes of ranges x-y and bytes x, parted by commas."""
+    found = re.findall(rf"({_BYTE})(?:-({_BYTE}))?(?:,|$)", text)
+    return [bytes([b]) for x, y in found for b in range(_bytes(x)[0], _bytes(y or x)[0] + 1)]
+
+
 def parsed(line: str) -> Signature:
     name, kind, rest = line.split(" ", 2)
     rest, conditions, at = " " + rest, [], 0
@@ -245,7 +254,10 @@ def parsed(line: str) -> Signature:
         m = _CONDITION.match(rest, at)
         if not m:
             raise ValueError(f"bad signature: {line!r}")
-        options = tuple(_bytes(x) for x in ([m[2]] if m[3] is None else re.findall(_TEXT, m[3])))
+        if m.group(6) is not None:
+            options = tuple(_ranges(m.group(6)))
+        else:
+            options = tuple(_bytes(x) for x in ([m[2]] if m[3] is None else re.findall(_TEXT, m[3])))
         if len({len(x) for x in options}) != 1:
             raise ValueError(f"alternatives of unlike length: {line!r}")
         conditions.append(Condition(int(m[1]), options))
@@ -277,12 +289,18 @@ GUARDED = (
 
 @cache
 def signatures() -> tuple[Signature, ...]:
-    plain = tuple(parsed(x) for x in SIGNATURES.strip().split("\n"))
+    plain = tuple(parsed(x) for x in (SIGNATURES.strip() + FURTHER.rstrip()).split("\n"))
     guarded = ((parsed(line), guards, bonus) for line, guards, bonus in GUARDED)
     return plain + tuple(Signature(s.format, s.kind, s.conditions, tuple(Condition(at, tuple(bytes([b]) for b in options)) for at, options in guards), bonus) for s, guards, bonus in guarded)
 
 
+@cache
+def ruled() -> tuple[tuple[Signature, str, int | str], ...]:
+    """Signatures with a condition, SQL over the header h, and what it adds to the confidence."""
+    return tuple((parsed(line), rule, bonus) for line, rule, bonus in RULED)
+
+
 @cache
 def formats() -> dict[str, str]:
     """Class by format, for all formats that detection can name."""
-    return {s.format: s.kind for s in signatures()} | dict.fromkeys(BY_LENGTH, "other") | {"html": "other", "pnm": "image"}
+    return {s.format: s.kind for s in (*signatures(), *(s for s, _, _ in ruled()))} | dict.fromkeys(BY_LENGTH, "other") | {"html": "other", "pnm": "image"}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.formats.signatures import BY_LENGTH, BY_LENGTH_CONFIDENCE, HEADER_BYTES, UNKNOWN, Signature, signatures
+from fathomline.formats.signatures import BY_LENGTH, BY_LENGTH_CONFIDENCE, HEADER_BYTES, UNKNOWN, Signature, ruled, signatures
 
 #: A document type of HTML, or one of the tags that only HTML begins with.
 HTML_START = r"(?i)^[\t-\r ]*<(?:!doctype(?=[\t-\r >])[\t-\r ]*html|html|head|body)(?=[\t-\r >])[\t-\r ]*"
@@ -38,7 +39,22 @@ def _computed() -> list[str]:
     html = f"if(substring(h, 1, 1) IN ({spaces}), 68 + greatest(1, {start} - 12), 100 + greatest(1, {start} - 100))"
     pnm = f"substring(h, 1, 1) = X'50' AND substring(h, 2, 1) IN ({_any(b'1234567')}) AND (substring(h, 3, 1) = X'23' OR substring(h, 3, 1) IN ({spaces}) AND substring(h, 4, 1) IN ({_any(b'0123456789')}))"
     # Confidence of one fixed byte, one of seven and one of seven, and one for the digit or comment.
-    return [f"CASE WHEN {start} > 0 THEN {_candidate(html, 'html')} END", f"CASE WHEN {pnm} THEN {_candidate(100 + 65 + 65 + 1, 'pnm')} END"]
+    found = [f"CASE WHEN {start} > 0 THEN {_candidate(html, 'html')} END", f"CASE WHEN {pnm} THEN {_candidate(100 + 65 + 65 + 1, 'pnm')} END"]
+    for s, rule, bonus in ruled():
+        found.append(f"CASE WHEN {_holds(s)} AND ({_numbers(rule)}) THEN {_candidate(f'({s.confidence} + greatest(1, {_numbers(str(bonus))}))', s.format)} END")
+    return found
+
+
+def _numbers(sql: str) -> str:
+    """u8(at), u16le(at), u32le(at) and u32be(at) of a rule written out; a number that the header lacks is null, which fulfils no condition."""
+
+    def written(m: re.Match) -> str:
+        size, little, at = int(m[1]) // 8, m[2] == "le", int(m[3])
+        digits = [f"hex(substring(h, {at + k + 1}, 1))" for k in (reversed(range(size)) if little else range(size))]
+        number = f"conv(concat({', '.join(digits)}), 16, 10)"
+        return f"if(length(h) >= {at + size}, cast({number} as {'int' if size < 4 else 'bigint'}), null)"
+
+    return re.sub(r"\bu(8|16|32)(le|be)?\(([0-9]+)\)", written, sql)
 
 
 @cache
@@ -84,7 +100,7 @@ def signature_table(spark) -> DataFrame:
 
 
 def detect_by_join(files: DataFrame, key: str, content: str = "content") -> DataFrame:
-    """(key, confidence, format) by a broadcast join of each header's prefixes with the registry, which is a fixed table of some hundred rows; for registries that come as data. Signatures by rule are not in it."""
+    """(key, confidence, format) by a broadcast join of each header's prefixes with the registry, which is a fixed table of some hundred rows; for registries that come as data. Formats that a rule describes are matched by column expressions beside it."""
     header = F.substring(F.col(content), 1, HEADER_BYTES).alias("header")
     prefixes = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda n: F.substring(F.col("header"), F.lit(1), n)))
     rows = files.select(key, header).withColumn("prefix", F.explode(prefixes))
@@ -92,7 +108,9 @@ def detect_by_join(files: DataFrame, key: str, content: str = "content") -> Data
     holds = F.forall("conditions", lambda c: F.array_contains(c["options"], F.substring(F.col("header"), c["at"] + 1, c["size"])))
     best = rows.join(table, "prefix").where(holds).groupBy(key).agg(F.max(F.struct("confidence", "format")).alias("best"))
     short = F.when(F.length("header") < len(BY_LENGTH), F.element_at(F.array(*map(F.lit, BY_LENGTH)), F.length("header") + 1))
-    return files.select(key, header).join(best, key, "left").select(
+    rules = F.expr(f"get(transform(array(header), h -> greatest({', '.join(_computed())})), 0)")
+    both = files.select(key, header).join(best.withColumnRenamed("best", "joined"), key, "left").withColumn("best", F.greatest("joined", rules))
+    return both.select(
         key,
         F.when(short.isNotNull(), BY_LENGTH_CONFIDENCE).otherwise(F.coalesce("best.confidence", F.lit(0))).alias("confidence"),
         F.coalesce(short, "best.format", F.lit(UNKNOWN)).alias("format"),

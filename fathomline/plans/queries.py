@@ -166,10 +166,10 @@ def duplicate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("sha256").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
 
 
-_NEW = "SELECT concat('d/', doc_id) AS f, n_chars AS size, doc_id * 60 AS mtime, CASE WHEN doc_id % 50 = 0 THEN source END AS symlink, FALSE AS is_symlink, lang AS tags FROM documents WHERE doc_id % 11 <> 3"
+_NEW = "SELECT concat('d/', doc_id) AS f, n_chars AS size, doc_id * 60 AS mtime, CASE WHEN doc_id % 50 = 0 THEN source END AS symlink, FALSE AS is_symlink, lang AS tags FROM documents WHERE TRUE"
 _OLD = (
-    "SELECT concat('d/', doc_id) AS f, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS size, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN doc_id ELSE doc_id * 60 END AS mtime,"
-    " CASE WHEN doc_id % 100 = 0 THEN source END AS symlink, doc_id % 31 = 0 AS is_symlink, CASE WHEN doc_id % 17 <> 0 THEN lang END AS tags FROM documents WHERE doc_id % 9 <> 4"
+    "SELECT CASE WHEN doc_id % 9 = 4 THEN concat('gone/', doc_id) ELSE concat('d/', doc_id) END AS f, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS size, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN doc_id ELSE doc_id * 60 END AS mtime,"
+    " CASE WHEN doc_id % 100 = 0 THEN source END AS symlink, doc_id % 31 = 0 AS is_symlink, CASE WHEN doc_id % 17 <> 0 THEN lang END AS tags FROM documents WHERE TRUE"
 )
 _CHANGED = "o.f IS NULL OR n.size IS DISTINCT FROM o.size OR n.mtime IS DISTINCT FROM o.mtime OR n.symlink IS DISTINCT FROM o.symlink OR n.is_symlink IS DISTINCT FROM o.is_symlink OR n.tags IS DISTINCT FROM o.tags"
 

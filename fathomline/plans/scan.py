@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import errno
 import hashlib
+import json
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,12 +24,43 @@ ANALYZED_BYTES = 65536
 PARAMETERS = ["width", "height", "codec", "subformat", "vcodec", "acodec", "anch", "arate", "asbits", "error"]
 
 
-def listed(spark: SparkSession, paths: list[str], thumbnails: bool = True) -> DataFrame:
-    """f, size, mtime, symlink, is_symlink and tags of all files under paths; no file is opened."""
+#: The extended attribute that holds a file's tags.
+TAGS = "user.mmfs.tags"
+
+
+def _found(spark: SparkSession, paths: list[str]) -> DataFrame:
     listing.register(spark)
-    rows = spark.read.format("file_listing").option("path", ":".join(paths)).option("headerBytes", 0).load()
+    return spark.read.format("file_listing").option("paths", json.dumps(list(paths))).option("headerBytes", 0).load()
+
+
+def listed(spark: SparkSession, paths: list[str], thumbnails: bool = True, before: int | None = None, tags: bool = False) -> DataFrame:
+    """f, size, mtime, symlink, is_symlink and tags of all files under paths; no file is opened.
+
+    before leaves out files of that time (in seconds) or later, which may still be written to. tags reads them
+    from the extended attribute TAGS: '' for a file without it, null where attributes can't be read.
+    """
+    rows = _found(spark, paths).where("error is null")
     rows = rows if thumbnails else rows.where(~is_thumbnail(F.col("path")))
-    return rows.select(F.col("path").alias("f"), "size", "mtime", "symlink", (F.col("kind") == "symlink").alias("is_symlink"), F.lit(None).cast("string").alias("tags"))
+    rows = rows if before is None else rows.where(F.col("mtime") < before)
+    rows = rows.select(F.col("path").alias("f"), "size", "mtime", "symlink", (F.col("kind") == "symlink").alias("is_symlink"), F.lit(None).cast("string").alias("tags"))
+    return rows.mapInArrow(_tagged, rows.schema) if tags else rows
+
+
+def _tagged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        found: list[str | None] = []
+        for name, link in zip(batch.column("f").to_pylist(), batch.column("is_symlink").to_pylist()):
+            try:
+                found.append("" if link else os.getxattr(name, TAGS).decode("utf-8", "replace"))
+            except OSError as e:
+                found.append("" if e.errno in (errno.ENODATA, errno.EOPNOTSUPP) else None)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string())], names=batch.schema.names)
+
+
+def diagnostics(spark: SparkSession, paths: list[str], records: DataFrame | None = None) -> DataFrame:
+    """f and error of what a scan of paths passes over: directories that can't be listed, files that can't be looked at, and, of records with all their errors (scan's with errors=True), those that have one."""
+    rows = _found(spark, paths).where("error is not null").select(F.col("path").alias("f"), "error")
+    return rows if records is None else rows.unionByName(records.where("error is not null").select("f", "error"))
 
 
 def _read(it: Iterator[pa.RecordBatch], hashed: bool, limit: int) -> Iterator[pa.RecordBatch]:
@@ -63,20 +97,25 @@ def analyzed(files: DataFrame, content: str = "content", name: str | None = None
     return walks.withColumns(chosen).drop("detected", "confidence", *(f"fixed_{c}" for c in fixed))
 
 
-def scan(spark: SparkSession, paths: list[str], old: DataFrame | None = None, sha256: bool = True, thumbnails: bool = True) -> DataFrame:
+def scan(
+    spark: SparkSession, paths: list[str], old: DataFrame | None = None, sha256: bool = True, thumbnails: bool = True, before: int | None = None, tags: bool = False, mtime: bool = True, errors: bool = False
+) -> DataFrame:
     """One record for each file under paths that is new or changed since the snapshot old (f, size, mtime, tags, symlink, is_symlink).
 
-    Unchanged files are not opened: the comparison comes before the reading. Records with an error other than
-    bad_data or bad_read_sha256 are left out, as a scan's output is the next scan's snapshot.
+    Unchanged files are not opened: the comparison comes before the reading; mtime and tags say whether these count
+    as changes (tags if they are read). before and tags as listed() has them. Records with an error other than
+    bad_data or bad_read_sha256 are left out, as a scan's output is the next scan's snapshot, unless errors
+    asks for them; diagnostics() tells of them.
     """
-    files = listed(spark, paths, thumbnails)
+    files = listed(spark, paths, thumbnails, before, tags)
     if old is not None:
-        files = with_change(files, old).where("changed").drop("changed")
+        files = with_change(files, old, mtime=mtime, tags=tags).where("changed").drop("changed")
     files = files.repartition("f")
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in files.schema.fields)}, content binary, sha256 string, read_error string"
     found = analyzed(files.mapInArrow(lambda it: _read(it, sha256, ANALYZED_BYTES), schema), name="f", limit=ANALYZED_BYTES)
     found = found.withColumn("error", F.coalesce("read_error", "error")).withColumn("format", F.when(F.col("is_symlink"), "symlink").otherwise(F.col("format")))
-    return found.drop("content", "read_error").where("error is null or error in ('bad_data', 'bad_read_sha256')")
+    found = found.drop("content", "read_error")
+    return found if errors else found.where("error is null or error in ('bad_data', 'bad_read_sha256')")
 
 
 def info_lines(records: DataFrame) -> DataFrame:

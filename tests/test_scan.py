@@ -17,13 +17,13 @@ def test_scan_twice(spark, tmp_path):
     (root / "a.png").write_bytes(IHDR)
     (root / "b c.txt").write_bytes(b"some text")
     (root / "d.th.jpg").write_bytes(b"\xff\xd8\xff\xe0")
-    (root / "e.gz").write_bytes(b"\x1f\x8b\x08?")
+    (root / "e.gz").write_bytes(b"\x1f\x8b\x08\0")
     (root / "none").write_bytes(b"")
     os.symlink("gone", root / "link")
     first = scan(spark, [str(root)], thumbnails=False)
     rows = {os.path.basename(r.f): r for r in first.collect()}
     assert {k: r.format for k, r in rows.items()} == {"a.png": "png", "b c.txt": "?", "e.gz": "gz", "none": "empty", "link": "symlink"}
-    assert (rows["a.png"].width, rows["a.png"].height, rows["a.png"].codec, rows["e.gz"].codec) == (1281, 770, "flate", "flate")
+    assert (rows["a.png"].width, rows["a.png"].height, rows["a.png"].codec, rows["e.gz"].codec) == (333, 4000, "flate", "flate")
     assert rows["b c.txt"].sha256 == hashlib.sha256(b"some text").hexdigest() and rows["link"].symlink == "gone"
     out = str(tmp_path / "lines")
     info_lines(first).write.text(out)
@@ -34,6 +34,35 @@ def test_scan_twice(spark, tmp_path):
     assert [os.path.basename(r.f) for r in scan(spark, [str(root)], old, thumbnails=False).collect()] == ["e.gz"]
 
 
+def test_options_spread_and_diagnostics(spark, tmp_path):
+    from fathomline.plans.scan import TAGS, diagnostics, listed
+    from fathomline.sources.listing import SPREAD, spread, walk
+
+    root = tmp_path / "a:b"
+    for k in range(40):
+        (root / f"d{k % 8}" / f"e{k}").mkdir(parents=True)
+        (root / f"d{k % 8}" / f"e{k}" / "f.gif").write_bytes(b"GIF89a\3\0\4\0\0\0\0;")
+    (root / "top.bin").write_bytes(b"12345")
+    os.symlink("d1", root / "to-folder")
+    os.utime(root / "top.bin", (10, 10))
+    every = sorted(r[0] for r in walk(str(root), 0))
+    parts = spread([str(root)], 9)
+    assert len(every) == 42 and sorted(r[0] for p, deep in parts for r in walk(p, 0, deep)) == every and len(parts) > 9 and SPREAD >= len(parts)
+    assert [r[0] for r in walk(str(root), 0)][:3] == [str(root / "to-folder"), str(root / "top.bin"), str(root / "d0" / "e0" / "f.gif")]
+    assert sorted(r.f for r in listed(spark, [str(root)]).collect()) == every
+    assert [r.f for r in listed(spark, [str(root)], before=11).collect()] == [str(root / "top.bin")]
+    try:
+        os.setxattr(root / "top.bin", TAGS, b"blue sky")
+        told = {r.f: r.tags for r in listed(spark, [str(root)], tags=True).collect()}
+        assert told[str(root / "top.bin")] == "blue sky" and set(told.values()) == {"blue sky", ""}
+    except OSError:
+        pass  # a file system without extended attributes
+    missing = diagnostics(spark, [str(root / "none")]).collect()
+    assert [(r.f, r.error) for r in missing] == [(str(root / "none"), "bad_stat")]
+    bad = scan(spark, [str(root)], errors=True).withColumn("error", F.when(F.col("f").endswith(".bin"), "bad_open"))
+    assert [r.error for r in diagnostics(spark, [str(root)], bad).collect()] == ["bad_open"]
+
+
 def test_parameters_far_into_a_file(spark, tmp_path):
     root, many = tmp_path / "files", 200_000
     root.mkdir()
