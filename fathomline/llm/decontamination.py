@@ -41,7 +41,7 @@ BLOCKS = ((0, 22), (22, 43), (43, 64))
 STEP = 1.3
 STRIDE = 4
 #: Bounds of one block of the benchmark.
-ITEMS, ITEM_CHARS = 2000, 4_000_000
+ITEMS, ITEM_CHARS = 1000, 4_000_000
 #: Words that are fingerprinted at a time.
 PIECE = 1 << 15
 #: Rows whose words are held at a time.
@@ -142,16 +142,17 @@ class _Class:
     item: np.ndarray
     first: np.ndarray
 
-    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each block (first, prints): under a value v the numbers of the prints stand at first[v] to first[v + 1]."""
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each block (screen, values, prints): whether a value is listed, the listed values, ascending, and the number of the print that each is listed for."""
         out = []
         for lo, hi in BLOCKS:
             masks = np.array([sum(1 << b for b in c) for errors in range(RADIUS // len(BLOCKS) + 1) for c in itertools.combinations(range(hi - lo), errors)], np.uint32)
             values = ((self.prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.uint32)
             every = (values[:, None] ^ masks[None, :]).ravel()
-            first = np.zeros((1 << (hi - lo)) + 1, np.int32)
-            np.cumsum(np.bincount(every, minlength=1 << (hi - lo)), out=first[1:])
-            out.append((first, (np.argsort(every, kind="stable") // len(masks)).astype(np.int32)))
+            order = np.argsort(every, kind="stable")
+            screen = np.zeros(1 << (hi - lo), bool)
+            screen[every] = True
+            out.append((screen, every[order], (order // len(masks)).astype(np.uint32)))
         return out
 
 
@@ -248,21 +249,20 @@ def prepared(rows: list[tuple], width: int, least: float) -> Items:
     return Items([k for k, _ in told], [len(w) for _, w in told], [shingles(w, width) for _, w in told], codes, classes, anchors, width, least)
 
 
-def candidates(prints: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def candidates(prints: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """(place among prints, number of an item's print) of all pairs that share a block's value but for RADIUS // 3 bits; a pair may come several times."""
     where, which = [], []
-    for (first, listed), (lo, hi) in zip(tables, BLOCKS):
-        value = ((prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)
-        begin = first[value]
-        n = first[value + 1] - begin
-        hit = np.flatnonzero(n)
-        n = n[hit]
+    for (screen, values, listed), (lo, hi) in zip(tables, BLOCKS):
+        value = ((prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.uint32)
+        hit = np.flatnonzero(screen[value])
+        begin, end = np.searchsorted(values, value[hit], "left"), np.searchsorted(values, value[hit], "right")
+        n = end - begin
         where.append(np.repeat(hit, n))
-        which.append(listed[np.repeat(begin[hit] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())])
+        which.append(listed[np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())])
     return np.concatenate(where), np.concatenate(which)
 
 
-def _found(h: np.ndarray, ends: np.ndarray, classes: list[tuple[_Class, list[tuple[np.ndarray, np.ndarray]]]]) -> set[tuple[int, int, int]]:
+def _found(h: np.ndarray, ends: np.ndarray, classes: list[tuple[_Class, list[tuple[np.ndarray, ...]]]]) -> set[tuple[int, int, int]]:
     """(item's number, where it would begin, where the window begins) of windows within RADIUS of an item's part; ends: where each word's document ends."""
     found: set[tuple[int, int, int]] = set()
     for at in range(0, len(h), PIECE):
@@ -383,7 +383,7 @@ def _searched(shared, least: float, name: str | None = None):
 _cached: dict[int, list] = {}
 
 
-def _tables(items: Items) -> list[list[np.ndarray]]:
+def _tables(items: Items) -> list[list[tuple[np.ndarray, ...]]]:
     """The classes' tables, made once in a worker for the block of the benchmark that it is at."""
     if id(items) not in _cached:
         _cached.clear()
