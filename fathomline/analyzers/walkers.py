@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from fathomline.analyzers import containers
+from fathomline.analyzers import containers, pictures
 from fathomline.functions.dimensions import CHANNEL_RANGE, RATE_RANGE
 
 NAMES = {"format": StringType(), "width": LongType(), "height": LongType(), "codec": StringType(), "subformat": StringType(), "vcodec": StringType(), "acodec": StringType(), "anch": LongType(), "arate": LongType(), "asbits": LongType(), "error": StringType()}
@@ -229,12 +229,19 @@ def chunks(data: bytes | FileBytes, at: int, order: str = ">"):
 
 
 def aiff(data: bytes | FileBytes) -> dict:
-    """The common chunk: channels, frames, bits of a sample, and the rate as an extended float."""
-    out = {"format": "aiff", "acodec": "pcm"}
+    """The common chunk: channels, frames, bits of a sample, and the rate as an extended float; in AIFC also a codec."""
+    compressed = data[8:12] == b"AIFC"
+    out = {"format": "aifc"} if compressed else {"format": "aiff", "acodec": "pcm"}
     for kind, at, size in chunks(data, 12):
         common = data[at : at + 18]
         if kind != b"COMM" or size < 18 or len(common) < 18:
             continue
+        if compressed:
+            codec = data[at + 18 : at + 22]
+            if not 23 <= size <= 255 or len(codec) < 4:
+                raise BadData(out)
+            name = codec.decode("latin-1").strip().lower()
+            out["acodec"] = containers.MP4_AUDIO.get(name, name)
         for name, value, (low, high) in (("anch", lambda: _unpack(">H", common, 0)[0], CHANNEL_RANGE), ("arate", lambda: rounded(extended(common[8:])), RATE_RANGE), ("asbits", lambda: _unpack(">H", common, 6)[0], (1, 32))):
             try:
                 found = value()
@@ -298,13 +305,13 @@ def pnm(data: bytes | FileBytes) -> dict:
     return {"format": "pnm", "subformat": subformat, "codec": codec, "width": numbers[0], "height": numbers[1]}
 
 
-WALKERS: dict[str, Callable[[bytes | FileBytes], dict]] = {"png": png, "gif": gif, "jpeg": jpeg, "bmp": bmp, "wav": wav, "flac": flac, "au": au, "aiff": aiff, "tiff": tiff, "pnm": pnm} | containers.WALKERS
+WALKERS: dict[str, Callable[[bytes | FileBytes], dict]] = {"png": png, "gif": gif, "jpeg": jpeg, "bmp": bmp, "wav": wav, "flac": flac, "au": au, "aiff": aiff, "aifc": aiff, "tiff": tiff, "pnm": pnm} | containers.WALKERS | pictures.WALKERS
 
 
 def walked(files: DataFrame, content: str = "content", name: str | None = None, limit: int = 0) -> DataFrame:
     """files (with format) with the walkers' values appended, own columns of these names replaced; format as the walker refines it.
 
-    error is bad_data where a walker refuses the bytes. Formats without a walker keep their format and have
+    error is bad_data where a walker refuses the bytes or a number is beyond 64 bits, which is then null. Formats without a walker keep their format and have
     nulls, as have null contents. Where name has the files' names, contents of limit bytes or more may be only their
     beginnings: walkers then read and seek in the file itself. One that can't be read then has error bad_open.
     """
@@ -325,6 +332,8 @@ def walked(files: DataFrame, content: str = "content", name: str | None = None,
                         else:
                             out |= walker(data)
                         out |= containers.rolled(out.pop("tracks", []))
+                        if any(isinstance(v, int) and v >= 1 << 63 for v in out.values()):
+                            raise BadData({k: None if isinstance(v, int) and v >= 1 << 63 else v for k, v in out.items()})
                     except OSError:
                         out["error"] = "bad_open"
                     except BadData as e:
