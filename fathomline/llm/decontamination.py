@@ -115,7 +115,12 @@ class _Sums:
 
 
 def _packed(difference: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(np.packbits(difference > 0, axis=0, bitorder="little").T).view(np.uint64)[:, 0]
+    """The signs of 64 rows as bits of one number a column; row by row, which is several times faster than packing along the columns."""
+    positive = (difference > 0).view(np.uint8)
+    out = positive[::8].copy()
+    for bit in range(1, 8):
+        out |= positive[bit::8] << np.uint8(bit)
+    return np.ascontiguousarray(out.T).view(np.uint64)[:, 0]
 
 
 def fingerprints(sums: _Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -142,8 +147,8 @@ class _Class:
     item: np.ndarray
     first: np.ndarray
 
-    def tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each block (screen, values, prints): whether a value is listed, the listed values, ascending, and the number of the print that each is listed for."""
+    def tables(self) -> list[tuple[np.ndarray, ...]]:
+        """For each block (screen, bits, before, starts, prints): whether a value is listed, the same as 64 bits a number, how many values are listed before these 64, where the n-th listed value's prints start, and the numbers of the prints."""
         out = []
         for lo, hi in BLOCKS:
             masks = np.array([sum(1 << b for b in c) for errors in range(RADIUS // len(BLOCKS) + 1) for c in itertools.combinations(range(hi - lo), errors)], np.uint32)
@@ -152,7 +157,9 @@ class _Class:
             order = np.argsort(every, kind="stable")
             screen = np.zeros(1 << (hi - lo), bool)
             screen[every] = True
-            out.append((screen, every[order], (order // len(masks)).astype(np.uint32)))
+            listed = screen.reshape(-1, 64).sum(axis=1)
+            starts = np.r_[0, np.cumsum(np.unique(every, return_counts=True)[1])].astype(np.uint32)
+            out.append((screen, np.packbits(screen, bitorder="little").view(np.uint64), (np.cumsum(listed) - listed).astype(np.uint32), starts, (order // len(masks)).astype(np.uint32)))
         return out
 
 
@@ -249,14 +256,17 @@ def prepared(rows: list[tuple], width: int, least: float) -> Items:
     return Items([k for k, _ in told], [len(w) for _, w in told], [shingles(w, width) for _, w in told], codes, classes, anchors, width, least)
 
 
-def candidates(prints: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def candidates(prints: np.ndarray, tables: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
     """(place among prints, number of an item's print) of all pairs that share a block's value but for RADIUS // 3 bits; a pair may come several times."""
     where, which = [], []
-    for (screen, values, listed), (lo, hi) in zip(tables, BLOCKS):
+    for (screen, bits, before, starts, listed), (lo, hi) in zip(tables, BLOCKS):
         value = ((prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.uint32)
         hit = np.flatnonzero(screen[value])
-        begin, end = np.searchsorted(values, value[hit], "left"), np.searchsorted(values, value[hit], "right")
-        n = end - begin
+        value = value[hit]
+        lower = (np.uint64(1) << (value & np.uint32(63)).astype(np.uint64)) - np.uint64(1)
+        rank = before[value >> np.uint32(6)] + np.bitwise_count(bits[value >> np.uint32(6)] & lower)
+        begin = starts[rank].astype(np.int64)
+        n = starts[rank + np.uint32(1)] - begin
         where.append(np.repeat(hit, n))
         which.append(listed[np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())])
     return np.concatenate(where), np.concatenate(which)
@@ -347,11 +357,11 @@ def _searched(shared, least: float, name: str | None = None):
         for top in range(0, batch.num_rows, ROWS):
             # Few rows at a time: lists of words take many times the memory of their text.
             texts = [words_of(t.decode("utf-8", "replace")) for t in utf8(batch.column("text").slice(top, ROWS))]
-            numbers = np.concatenate([np.fromiter(map(ids.__getitem__, w), np.int64, len(w)) for w in texts])
-            if not len(numbers):
+            sizes = np.array([len(w) for w in texts])
+            if not sizes.sum():
                 continue
+            numbers = np.fromiter(map(ids.__getitem__, itertools.chain.from_iterable(texts)), np.int64, sizes.sum())
             known = np.concatenate([known, _hashes(list(itertools.islice(ids, len(known), None)))])
-            sizes = np.array([len(w) for w in texts])
             stops, h = np.cumsum(sizes), known[numbers]
             ends = np.repeat(stops, sizes)
             starts: dict[tuple[int, int], list[tuple[int, int]]] = {}
