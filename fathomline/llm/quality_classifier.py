@@ -9,6 +9,8 @@ FTRL-proximal over a bounded sample of labelled rows; a score is a sparse dot pr
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,14 +83,22 @@ def _merged(index: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return kinds, np.bincount(inverse, value, len(kinds)).astype(np.float64)
 
 
-def train(texts: list[bytes], labels: list[int], s: Settings) -> tuple[np.ndarray, float]:
-    """(weights, bias) by FTRL-proximal; order and result depend on the rows and the seed only. The bias is a feature of value 1."""
+def train(texts: Iterable[bytes], labels: list[int], s: Settings) -> tuple[np.ndarray, float]:
+    """(weights, bias) by FTRL-proximal; order and result depend on the rows and the seed only. The bias is a feature of value 1.
+
+    texts is read once, and a text's label by when the text is read. All rows' features are in two buffers, which the
+    driver gives back to the system whole: many small arrays would leave holes that it keeps as long as it runs.
+    """
     size = 1 << s.bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    rows = []
+    places, numbers, stops = array("i"), array("d"), [0]
     for t in texts:
         i, v = _merged(*features(t, s.bits))
-        rows.append((np.r_[i, size], np.r_[v, 1.0]))
+        places.frombytes(np.r_[i, size].astype(np.int32).tobytes())
+        numbers.frombytes(np.r_[v, 1.0].tobytes())
+        stops.append(len(places))
+    _seen.clear()  # the driver scores nothing
+    index, value = np.frombuffer(places, np.int32), np.frombuffer(numbers, np.float64)
 
     def weights(i: np.ndarray | slice) -> np.ndarray:
         zi = z[i]
@@ -97,8 +107,8 @@ def train(texts: list[bytes], labels: list[int], s: Settings) -> tuple[np.ndarra
 
     rng = np.random.default_rng(s.seed)
     for _ in range(s.epochs):
-        for k in rng.permutation(len(rows)):
-            i, v = rows[k]
+        for k in rng.permutation(len(stops) - 1):
+            i, v = index[stops[k] : stops[k + 1]], value[stops[k] : stops[k + 1]]
             w = weights(i)
             p = 1 / (1 + np.exp(-np.clip(w @ v, -30, 30)))
             g = (p - labels[k]) * v
@@ -123,15 +133,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, s: Settings = Setting
     first = known.where(F.pmod("o", F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(F.pmod("o", F.lit(1 << 30)), "o", "doc_id").limit(s.max_rows)
     # The sample is max_rows ids at most: that bound makes the broadcast safe, and no text is shuffled to find it.
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(first), "doc_id").select("text", "quality", "o", F.xxhash64("text").alias("t")).orderBy("o", "t")
-    sample, used = [], 0
-    for r in rows.toLocalIterator():
-        used += len(r.text)
-        if used > s.max_chars and sample:
-            break
-        sample.append((r.text.encode(), r.quality))
-    if not sample:
-        return np.zeros(1 << s.bits, np.float32), 0.0
-    return train([t for t, _ in sample], [q for _, q in sample], s)
+    learned: list[int] = []
+
+    def texts() -> Iterator[bytes]:
+        used = 0
+        for r in rows.toLocalIterator():
+            used += len(r.text)
+            if used > s.max_chars and learned:
+                break
+            learned.append(r.quality)
+            yield r.text.encode()
+
+    return train(texts(), learned, s)
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = Settings.bits, score_col: str = "score") -> DataFrame:

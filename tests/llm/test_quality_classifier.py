@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -59,3 +60,19 @@ def test_empty_tables(spark):
     model = qc.fit(docs, labels, F.lit(True))
     assert qc.scored(docs, model).collect() == []
     assert qc.scored(spark.createDataFrame([(1, "a")], "doc_id long, text string"), model).first().score == 0.5
+
+
+def test_training_holds_features_in_few_bytes():
+    s = qc.Settings(bits=12, epochs=1)
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefg", k=5)) for _ in range(60)).encode() for _ in range(1500)]
+    held = sum(len(np.unique(qc.features(t, s.bits)[0])) + 1 for t in texts)
+    qc._seen.clear()
+    words = len({w for t in texts for w in t.split()})
+    tracemalloc.start()
+    qc.train(iter(texts), [k % 2 for k in range(len(texts))], s)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    # 12 bytes a feature beside the words' hashes; what is left is the weights.
+    assert peak < 14 * held + 400 * words + 1_000_000
+    assert not qc._seen and kept < 1_000_000
